@@ -1,7 +1,12 @@
-"""Array columns: row statistics, class probabilities."""
+"""Array columns: row statistics, class probabilities.
+
+An expression used inside a lambda is evaluated once per element, so intermediate results are bound with ``let``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +15,11 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(arr) -> Column:
     return F.aggregate(_c(arr), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -20,29 +30,42 @@ def mean(arr) -> Column:
 
 def std_pop(arr) -> Column:
     a = _c(arr)
-    m = mean(a)
-    return F.sqrt(total(F.transform(a, lambda v: (v - m) * (v - m))) / F.size(a))
+
+    def spread(m: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m))
+
+    return F.sqrt(let(mean(a), spread) / F.size(a))
 
 
 def zscores(arr) -> Column:
+    def scale(t: Column) -> Column:
+        return F.transform(
+            t["a"], lambda v: F.when(t["s"] > 0, (v - t["m"]) / t["s"]).otherwise(F.lit(0.0))
+        )
+
     a = _c(arr)
-    m, s = mean(a), std_pop(a)
-    return F.transform(a, lambda v: F.when(s > 0, (v - m) / s).otherwise(F.lit(0.0)))
+    return let(F.struct(a.alias("a"), mean(a).alias("m"), std_pop(a).alias("s")), scale)
 
 
 def despike(arr, limit: float) -> Column:
     """Values with a row z-score beyond the limit become the mean of the others of the row."""
     a = _c(arr)
-    z = zscores(a)
-    kept = F.filter(F.zip_with(a, z, lambda v, s: F.when(F.abs(s) <= limit, v)), lambda v: v.isNotNull())
-    fill = mean(kept)
-    return F.zip_with(a, z, lambda v, s: F.when(F.abs(s) <= limit, v).otherwise(fill))
+
+    def fill(kept: Column) -> Column:
+        level = mean(F.filter(kept, lambda v: v.isNotNull()))
+        return let(level, lambda m: F.transform(kept, lambda v: F.coalesce(v, m)))
+
+    kept = F.zip_with(a, zscores(a), lambda v, s: F.when(F.abs(s) <= limit, v))
+    return let(kept, fill)
 
 
 def minmax(arr) -> Column:
+    def scale(t: Column) -> Column:
+        span = t["hi"] - t["lo"]
+        return F.transform(t["a"], lambda v: F.when(span > 0, (v - t["lo"]) / span).otherwise(F.lit(0.0)))
+
     a = _c(arr)
-    lo, hi = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda v: F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0)))
+    return let(F.struct(a.alias("a"), F.array_min(a).alias("lo"), F.array_max(a).alias("hi")), scale)
 
 
 def argmax(arr) -> Column:
@@ -55,14 +78,17 @@ def threshold_argmax(probs, thresholds: list[float]) -> Column:
     """Argmax of what exceeds the class thresholds; plain argmax where nothing does."""
     p = _c(probs)
     over = F.zip_with(p, F.array(*[F.lit(t) for t in thresholds]), lambda v, t: F.greatest(v - t, F.lit(0.0)))
-    return F.when(F.array_max(over) > 0, argmax(over)).otherwise(argmax(p))
+    return let(over, lambda o: F.when(F.array_max(o) > 0, argmax(o)).otherwise(argmax(p)))
 
 
 def softmax(arr) -> Column:
     a = _c(arr)
-    peak = F.array_max(a)
-    powers = F.transform(a, lambda v: F.exp(v - peak))
-    return F.transform(powers, lambda v: v / total(powers))
+
+    def share(powers: Column) -> Column:
+        return let(total(powers), lambda s: F.transform(powers, lambda v: v / s))
+
+    powers = let(F.array_max(a), lambda peak: F.transform(a, lambda v: F.exp(v - peak)))
+    return let(powers, share)
 
 
 def softmax_blocks(arr, blocks: list[tuple[int, int]]) -> Column:
