@@ -20,17 +20,21 @@ from gridstrata.sources import table
 GRID_START = "2024-01-01 00:00:00"
 GRID_END = "2024-01-30 23:00:00"
 
+# Units of the energy views. They do not divide evenly, so means of few readings never end on a rounding tie.
+ENERGY_UNIT = 997
+VALUE_UNIT = 0.97
+
 VIEWS = {
     "readings": """SELECT l_suppkey AS bldg_id,
         l_shipdate + to_minutes(CAST(15 * ((l_orderkey * 7 + l_linenumber * 13) % 96) AS INTEGER)) AS ts,
-        l_extendedprice / 1000 AS energy FROM lineitem""",
-    "hourly": """SELECT user_id AS bldg_id, date_trunc('hour', ts) AS ts, sum(value) AS energy
+        l_extendedprice / 997 AS energy FROM lineitem""",
+    "hourly": """SELECT user_id AS bldg_id, date_trunc('hour', ts) AS ts, sum(value) / 0.97 AS energy
         FROM events GROUP BY ALL""",
     "grid": """SELECT k.bldg_id, h.ts, coalesce(e.energy, 0.0) AS energy
         FROM (SELECT DISTINCT user_id AS bldg_id FROM events) k
         CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00',
                     INTERVAL 1 HOUR)) AS ts) h
-        LEFT JOIN (SELECT user_id AS bldg_id, date_trunc('hour', ts) AS ts, sum(value) AS energy
+        LEFT JOIN (SELECT user_id AS bldg_id, date_trunc('hour', ts) AS ts, sum(value) / 0.97 AS energy
                    FROM events GROUP BY ALL) e ON e.bldg_id = k.bldg_id AND e.ts = h.ts""",
     "storms": """SELECT l_orderkey AS episode, l_linenumber AS event_no, l_suppkey AS county,
         l_returnflag || l_linestatus AS kind, l_shipdate AS begin_ts,
@@ -48,6 +52,20 @@ VIEWS = {
 }
 
 
+def calendar_sql(view: str) -> str:
+    """The calendar columns of ``functions.calendar.base_columns`` over a view."""
+    return f"""SELECT *, date_trunc('day', ts) AS day, month(ts) AS month, week(ts) AS week, isodow(ts) - 1 AS weekday,
+        hour(ts) AS hour, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS weekend,
+        CASE WHEN month(ts) IN (12, 1, 2) THEN 0 WHEN month(ts) IN (6, 7, 8) THEN 1 ELSE 2 END AS season,
+        CASE WHEN hour(ts) IN (13, 14, 15) THEN 1 WHEN hour(ts) IN (16, 17, 18, 19) THEN 2 ELSE 0 END AS tou,
+        CASE WHEN strftime(ts, '%m-%d') IN ('01-01', '01-15', '02-19', '05-28', '07-04', '09-03', '10-08', '11-11',
+            '11-12', '11-22', '12-25') THEN 1 ELSE 0 END AS holiday FROM {view}"""
+
+
+VIEWS["cal"] = calendar_sql("readings")
+VIEWS["gcal"] = calendar_sql("grid")
+
+
 def with_(*names: str, **more: str) -> str:
     """``WITH`` clause of the named views and further ones."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({q})" for n, q in more.items()]
@@ -67,7 +85,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("bldg_id"),
         F.timestamp_add("MINUTE", slot.cast("int"), F.col("l_shipdate")).alias("ts"),
-        (F.col("l_extendedprice") / 1000).alias("energy"),
+        (F.col("l_extendedprice") / ENERGY_UNIT).alias("energy"),
     )
 
 
@@ -75,7 +93,7 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "events")
         .groupBy(F.col("user_id").alias("bldg_id"), F.date_trunc("hour", "ts").alias("ts"))
-        .agg(F.sum("value").alias("energy"))
+        .agg((F.sum("value") / VALUE_UNIT).alias("energy"))
     )
 
 
@@ -83,7 +101,8 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("bldg_id"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("energy")
     )
-    return spine_fill(events, ["bldg_id"], "ts", "energy", GRID_START, GRID_END, "1 hour")
+    filled = spine_fill(events, ["bldg_id"], "ts", "energy", GRID_START, GRID_END, "1 hour")
+    return filled.withColumn("energy", F.col("energy") / VALUE_UNIT)
 
 
 def storms(spark: SparkSession, sf: str) -> DataFrame:

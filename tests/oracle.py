@@ -24,7 +24,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return ("0",)
     if isinstance(value, float) and math.isnan(value):
         return ("0",)
