@@ -34,11 +34,13 @@ def over_blocks(
     after: int = 0,
     width: int = 30 * DAY,
     ties: Sequence[str] = (),
+    by_seconds: bool = False,
 ) -> DataFrame:
     """Window columns whose frames reach ``before`` seconds back and ``after`` seconds ahead.
 
     The axis must be regular (one row per step), so that a row frame has a known reach in time. Each stage gets the
     window spec and returns columns; a later stage may use those of an earlier one, the reach is that of all together.
+    With ``by_seconds`` the spec is ordered by epoch seconds for frames in time, which need no regular axis.
     """
     if callable(stages):
         stages = [stages]
@@ -50,7 +52,8 @@ def over_blocks(
         halo = df.withColumn("_block", F.explode(F.sequence(first, last))).withColumn("_home", F.col("_block") == own)
     else:
         halo = df.withColumn("_block", own).withColumn("_home", F.lit(True))
-    spec = Window.partitionBy(*keys, "_block").orderBy(ts, *ties)
+    order = [seconds] if by_seconds else [ts, *ties]
+    spec = Window.partitionBy(*keys, "_block").orderBy(*order)
     for build in stages:
         halo = halo.withColumns(build(spec))
     return halo.where("_home").drop("_block", "_home")

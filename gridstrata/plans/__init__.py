@@ -1,6 +1,6 @@
 """Registered queries over the given tables, one module per operator family."""
 
-from gridstrata.plans import cleaning, profiles, reshaping, scans  # noqa: F401
+from gridstrata.plans import cleaning, moving, profiles, reshaping, scans, storms  # noqa: F401
 from gridstrata.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
