@@ -1,6 +1,6 @@
 """Registered queries over the given tables, one module per operator family."""
 
-from gridstrata.plans import cleaning, joining, moving, profiles, reshaping, scalars, scans, storms  # noqa: F401
+from gridstrata.plans import cleaning, joining, moving, profiles, reshaping, scalars, scans, signals, storms  # noqa: F401
 from gridstrata.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
