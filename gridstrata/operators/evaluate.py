@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from math import exp
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,21 +88,26 @@ def interval_score(true: DataFrame, pred: DataFrame, key: str, scale: float = 1.
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf[pdf["is_true"] == 1].sort_values(["a", "z", "id"])
         p = pdf[pdf["is_true"] == 0].sort_values(["a", "z", "id"])
-        a, z = p["a"].to_numpy(float), p["z"].to_numpy(float)
-        free = np.ones(len(p), bool)
-        n, inter_sum, union_sum, near_sum = 0, 0.0, 0.0, 0.0
-        for ta, tz in zip(t["a"].to_numpy(float), t["z"].to_numpy(float)):
-            inter = np.where(free, np.minimum(z, tz) - np.maximum(a, ta), 0).clip(0)
-            if not len(inter) or inter.max() <= 0:
+        starts, stops = p["a"].tolist(), p["z"].tolist()
+        longest = max((z - a for a, z in zip(starts, stops)), default=0)
+        free = [True] * len(starts)
+        n, inter_sum, union_sum, near_sum = 0, 0, 0, 0.0
+        for ta, tz in zip(t["a"].tolist(), t["z"].tolist()):
+            best, pick = (0.0, 0, 1), -1
+            for i in range(bisect_left(starts, ta - longest), bisect_left(starts, tz)):
+                inter = min(stops[i], tz) - max(starts[i], ta)
+                if free[i] and inter > 0:
+                    union = (tz - ta) + (stops[i] - starts[i]) - inter
+                    if inter / union > best[0]:
+                        best, pick = (inter / union, inter, union), i
+            if pick < 0:
                 continue
-            union = (tz - ta) + (z - a) - inter
-            i = int(np.argmax(inter / union))
-            free[i] = False
-            tau = 5.0 if a[i] > ta else 10.0
-            n, inter_sum, union_sum = n + 1, inter_sum + inter[i], union_sum + union[i]
-            near_sum += float(np.exp(-abs(a[i] - ta) / scale / tau))
+            free[pick] = False
+            tau = 5.0 if starts[pick] > ta else 10.0
+            n, inter_sum, union_sum = n + 1, inter_sum + best[1], union_sum + best[2]
+            near_sum += exp(-abs(starts[pick] - ta) / scale / tau)
         first = pdf.iloc[0]
-        return pd.DataFrame({key: [first[key]], "n": [n], "i": [inter_sum], "u": [union_sum], "e": [near_sum]})
+        return pd.DataFrame({key: [first[key]], "n": [n], "i": [float(inter_sum)], "u": [float(union_sum)], "e": [near_sum]})
 
     kind = true.schema[key].dataType.simpleString()
     # Stretches do not touch each other, so a run of them can be matched in one call.
@@ -199,7 +205,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], ident: str, error: Column, rep
     Each row enters resample r with a Poisson(1) weight drawn from its hash: no row order, no shuffle of whole samples.
     """
     u = F.pmod(F.xxhash64(F.col(ident), F.col("rep"), F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
-    weight, upto, p = F.lit(0), 0.0, float(np.exp(-1.0))
+    weight, upto, p = F.lit(0), 0.0, exp(-1.0)
     for k in range(0, 9):
         upto += p
         p /= k + 1

@@ -90,28 +90,35 @@ def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y:
     return points.join(found, pid).select(*points.columns, F.col(f"_b.{sid}").alias(sid), F.col("_b.d2").alias("d2"))
 
 
-def within_km(a: DataFrame, b: DataFrame, lat: str, lon: str, km: float, suffix: str = "_2") -> DataFrame:
-    """Pairs of rows of two point tables closer than ``km`` on the sphere; the second one's columns get the suffix."""
+def within_km(
+    a: DataFrame, b: DataFrame, lat: str, lon: str, km: float, suffix: str = "_2", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Pairs of rows of two point tables closer than ``km`` on the sphere; the second one's columns get the suffix.
+
+    Rows also have to agree on ``keys``, which keep their names.
+    """
     chord = geo.chord_of_km(km)
     left = a.withColumns(geo.sphere_cells(lat, lon, chord))
-    right = b.withColumnsRenamed({c: c + suffix for c in b.columns}).withColumns(
+    right = b.withColumnsRenamed({c: c + suffix for c in b.columns if c not in keys}).withColumns(
         geo.sphere_cells(lat + suffix, lon + suffix, chord)
     )
     for c in ("cx", "cy", "cz"):
         right = right.withColumn(c, around(F.col(c)))
-    pairs = left.join(right, ["cx", "cy", "cz"]).withColumn("km", geo.haversine_km(lat, lon, lat + suffix, lon + suffix))
+    pairs = left.join(right, [*keys, "cx", "cy", "cz"]).withColumn("km", geo.haversine_km(lat, lon, lat + suffix, lon + suffix))
     return pairs.where(F.col("km") <= km).drop("cx", "cy", "cz")
 
 
-def within_distance(a: DataFrame, b: DataFrame, x: str, y: str, radius: float, suffix: str = "_2") -> DataFrame:
+def within_distance(
+    a: DataFrame, b: DataFrame, x: str, y: str, radius: float, suffix: str = "_2", keys: Sequence[str] = ()
+) -> DataFrame:
     """Pairs closer than the radius in the plane, by grid cells of the radius."""
     left = a.withColumns({"_cx": F.floor(F.col(x) / radius), "_cy": F.floor(F.col(y) / radius)})
-    right = b.withColumnsRenamed({c: c + suffix for c in b.columns}).withColumns(
+    right = b.withColumnsRenamed({c: c + suffix for c in b.columns if c not in keys}).withColumns(
         {"_cx": F.floor(F.col(x + suffix) / radius), "_cy": F.floor(F.col(y + suffix) / radius)}
     )
     for c in ("_cx", "_cy"):
         right = right.withColumn(c, around(F.col(c)))
-    pairs = left.join(right, ["_cx", "_cy"]).withColumn("d2", geo.squared_distance(x, y, x + suffix, y + suffix))
+    pairs = left.join(right, [*keys, "_cx", "_cy"]).withColumn("d2", geo.squared_distance(x, y, x + suffix, y + suffix))
     return pairs.where(F.col("d2") <= radius * radius).drop("_cx", "_cy")
 
 

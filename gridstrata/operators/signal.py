@@ -66,7 +66,7 @@ def dft_profile(df: DataFrame, keys: Sequence[str], bucket: str, value: Column,
 
 
 def spectral_flatness(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Geometric ÷ arithmetic mean of the full power spectrum of each series.
+    """Geometric ÷ arithmetic mean of the one-sided power spectrum of each series.
 
     The series must be on a complete regular axis: a group then has one row per stamp of the axis, however many raw
     readings the key had.
@@ -74,7 +74,7 @@ def spectral_flatness(df: DataFrame, key: str, ts: str, value: str) -> DataFrame
 
     def flatness(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(ts)[value].to_numpy(float)
-        power = np.abs(np.fft.fft(x)) ** 2
+        power = np.abs(np.fft.rfft(x)) ** 2
         arithmetic = power.mean()
         ratio = float(np.exp(np.log(np.maximum(power, 1e-300)).mean()) / arithmetic) if arithmetic > 0 else None
         return pd.DataFrame({key: [pdf[key].iloc[0]], "flatness": [ratio]})

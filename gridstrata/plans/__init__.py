@@ -1,6 +1,8 @@
 """Registered queries over the given tables, one module per operator family."""
 
-from gridstrata.plans import cleaning, joining, moving, profiles, reshaping, scalars, scans, scoring, signals, storms  # noqa: F401
+from gridstrata.plans import (  # noqa: F401
+    cleaning, joining, models, moving, profiles, reshaping, scalars, scans, scoring, signals, spaces, storms,
+)
 from gridstrata.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -85,9 +85,8 @@ def fft_group_profile(spark, sf):
         "grid", x="SELECT bldg_id, energy, row_number() OVER (PARTITION BY bldg_id ORDER BY ts) - 1 AS j, count(*) OVER (PARTITION BY bldg_id) AS n FROM grid",
         k="SELECT CAST(unnest(range(361)) AS INTEGER) AS k",
         p="SELECT bldg_id, k, pow(sum(energy * cos(2 * pi() * ((j * k) % 720) / 720)), 2) + pow(sum(energy * sin(2 * pi() * ((j * k) % 720) / 720)), 2) AS p FROM x, k GROUP BY ALL",
-        w="SELECT *, CASE WHEN k IN (0, 360) THEN 1 ELSE 2 END AS w FROM p",
     )
-    + "SELECT bldg_id, round(exp(sum(w * ln(greatest(p, 1e-300))) / 720) / (sum(w * p) / 720), 6) AS flatness FROM w GROUP BY 1",
+    + "SELECT bldg_id, round(exp(avg(ln(greatest(p, 1e-300)))) / avg(p), 6) AS flatness FROM p GROUP BY 1",
 )
 def spectral_flatness(spark, sf):
     return rounded(signal.spectral_flatness(grid(spark, sf), "bldg_id", "ts", "energy"), KEY)
