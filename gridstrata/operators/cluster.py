@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from gridstrata.functions.arrays import let
 from gridstrata.operators.ranks import attach, exact_quantiles
+from gridstrata.session import checkpoint
 
 
 def assemble(df: DataFrame, columns: Sequence[str], scale: bool = True, name: str = "features") -> DataFrame:
-    """Columns to a vector column, standardised over the table if wanted."""
-    out = VectorAssembler(inputCols=list(columns), outputCol="_raw" if scale else name).transform(df)
+    """Columns to a vector column, standardised over the table if wanted.
+
+    The rows are checkpointed once: the trainers below pass over them many times.
+    """
+    out = checkpoint(VectorAssembler(inputCols=list(columns), outputCol="_raw" if scale else name).transform(df))
     if not scale:
         return out
     scaler = StandardScaler(inputCol="_raw", outputCol=name, withMean=True, withStd=True).fit(out)
@@ -206,7 +210,7 @@ def kshape(df: DataFrame, key: str, arr: str, k: int, rounds: int = 5, seed: int
 
         return let(mean, scale)
 
-    rows = df.select(key, standard(F.col(arr)).alias("x"))
+    rows = checkpoint(df.select(key, standard(F.col(arr)).alias("x")))
     start = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k).collect()
     centroids = np.array([r["x"] for r in start], float)
     d = centroids.shape[1]
@@ -228,7 +232,7 @@ def kshape(df: DataFrame, key: str, arr: str, k: int, rounds: int = 5, seed: int
 
     centre = np.eye(d) - 1.0 / d
     for _ in range(rounds):
-        placed = assign(centroids)
+        placed = checkpoint(assign(centroids))
         cells = placed.select("cluster", "x", F.posexplode("x").alias("i", "_a")).select("cluster", "i", "_a", F.posexplode("x").alias("j", "_b"))
         sums = cells.groupBy("cluster", "i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("s")).collect()
         firsts = {r["cluster"]: np.array(r["m"]) for r in _mean_shapes(placed).collect()}

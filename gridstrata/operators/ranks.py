@@ -70,6 +70,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_r"))).alias(n) for i, n in enumerate(names)])
 
 
+def _edges_below(edges: Column, value: Column, buckets: int) -> Column:
+    """Number of sorted edges below the value, by halving steps (``buckets`` is a power of two)."""
+    steps = [1 << i for i in reversed(range((buckets - 1).bit_length()))]
+
+    def move(at: Column, step: Column) -> Column:
+        return at + F.when(F.get(edges, at + step - 1) < value, step).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)
+
+
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, buckets: int = 256
 ) -> DataFrame:
@@ -86,9 +96,7 @@ def value_ranks(
     edges = rows.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, ACCURACY).alias("_edges"), F.count(F.lit(1)).alias("total")
     )
-    cut = attach(freq, keys, edges).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    ).drop("_edges")
+    cut = attach(freq, keys, edges).withColumn("_bucket", _edges_below(F.col("_edges"), F.col(value), buckets)).drop("_edges")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_b_{n}") for n in measures])
     # At most ``buckets`` rows per key.
