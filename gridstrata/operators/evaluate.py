@@ -178,7 +178,7 @@ def regression_scores(true: str, pred: str, delta: float = 0.01) -> dict[str, Co
 
 
 def ranking_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
-    """Area under the ROC curve, under the precision-recall curve (trapezoids) and Brier score.
+    """Area under the ROC curve, under the precision-recall curve (trapezoids) and Brier score; null without both classes.
 
     Works on counts per distinct score; the counts above a score are those of the next point of the curve.
     """
@@ -192,9 +192,9 @@ def ranking_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) -
     tp, fp = P - F.col("pos_below"), N - neg_below
     prec = tp / (tp + fp)
     prec_up = F.when(tp_up + fp_up > 0, tp_up / (tp_up + fp_up)).otherwise(1.0)
-    area = F.col("pos") / P * (prec + prec_up) / 2
+    area = F.try_divide(F.col("pos"), P) * (prec + prec_up) / 2
     return r.groupBy(*keys).agg(
-        (F.sum(F.col("pos") * (neg_below + neg / 2)) / (F.max(P) * F.max(N))).alias("auc_roc"), F.sum(area).alias("auc_pr"),
+        F.try_divide(F.sum(F.col("pos") * (neg_below + neg / 2)), F.max(P) * F.max(N)).alias("auc_roc"), F.sum(area).alias("auc_pr"),
         (F.sum("se") / F.max("_T")).alias("brier"),
     )
 

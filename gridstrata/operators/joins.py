@@ -35,13 +35,21 @@ def range_join(
     joined = left.join(right, [*keys, "_bucket"]).where(F.col(ts).between(F.col(start), F.col(stop))).drop("_bucket")
     if how == "inner":
         return joined
-    ids = [c for c in intervals.columns]
-    missing = intervals.join(joined.select(*ids).distinct(), ids, "left_anti")
-    return joined.unionByName(missing, allowMissingColumns=True)
+    return joined.unionByName(_unmatched(intervals, joined), allowMissingColumns=True)
+
+
+def _unmatched(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows that are not in the join result, compared on all their columns, nulls alike."""
+    seen = joined.select(*[F.col(c).alias(f"_s_{c}") for c in rows.columns]).distinct()
+    same = None
+    for c in rows.columns:
+        one = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
+        same = one if same is None else same & one
+    return rows.join(seen, same, "left_anti")
 
 
 def storm_causes(
-    storms: DataFrame, outages: DataFrame, ids: Sequence[str], county: str, begin: str, end: str, start: str, days_after: int = 1
+    storms: DataFrame, outages: DataFrame, county: str, begin: str, end: str, start: str, days_after: int = 1
 ) -> DataFrame:
     """Storms with the outages they caused: start inside the storm or up to ``days_after`` days behind its end.
 
@@ -50,7 +58,7 @@ def storm_causes(
     reach = storms.withColumn("_stop", F.timestamp_add("DAY", F.lit(days_after), F.col(end)))
     found = range_join(reach, outages, [county], begin, "_stop", start, width=86400).drop("_stop")
     found = found.withColumn("caused", F.lit(1))
-    alone = storms.join(found.select(*ids).distinct(), list(ids), "left_anti").withColumn("caused", F.lit(0))
+    alone = _unmatched(storms, found).withColumn("caused", F.lit(0))
     return found.unionByName(alone, allowMissingColumns=True)
 
 

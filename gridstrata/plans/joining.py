@@ -75,7 +75,7 @@ def join_interval_cause(spark, sf):
         F.col("o_custkey").alias("county"), F.col("o_orderkey").alias("outage"), F.col("o_orderdate").alias("start")
     )
     ids = ["episode", "event_no", "part", "county"]
-    found = joins.storm_causes(storms(spark, sf), outs, ids, "county", "begin_ts", "end_ts", "start")
+    found = joins.storm_causes(storms(spark, sf), outs, "county", "begin_ts", "end_ts", "start")
     days = (F.unix_timestamp("start") - F.unix_timestamp("begin_ts")) / DAY
     return found.select(
         *ids, F.coalesce("outage", F.lit(-1)).alias("outage"), long("caused").alias("caused"), F.coalesce(days, F.lit(-1.0)).alias("days")

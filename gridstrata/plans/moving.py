@@ -330,11 +330,11 @@ def win_lag_target(spark, sf):
 @query(
     "win_ecdf",
     """SELECT l_suppkey, l_quantity, any_value(c) AS ecdf FROM (SELECT l_suppkey, l_quantity,
-       round(cume_dist() OVER (PARTITION BY l_suppkey ORDER BY l_quantity), 6) AS c FROM lineitem) GROUP BY 1, 2""",
+       cume_dist() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS c FROM lineitem) GROUP BY 1, 2""",
 )
 def win_ecdf(spark, sf):
     ranks = value_ranks(table(spark, sf, "lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity")
-    return ranks.select("l_suppkey", "l_quantity", r6((F.col("below") + F.col("freq")) / F.col("total")).alias("ecdf"))
+    return ranks.select("l_suppkey", "l_quantity", ((F.col("below") + F.col("freq")) / F.col("total")).alias("ecdf"))
 
 
 @query(

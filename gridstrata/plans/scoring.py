@@ -211,8 +211,8 @@ def score_regression(spark, sf):
         c="SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY lang) AS pp, sum(neg) OVER (PARTITION BY lang) AS nn FROM d WINDOW w AS (PARTITION BY lang ORDER BY p DESC)",
         b="SELECT lang, avg(pow(p - y, 2)) AS brier FROM scored GROUP BY 1",
     )
-    + """SELECT c.lang, round(sum(pos * (nn - fp + neg / 2)) / max(CAST(pp AS DOUBLE) * nn), 6) AS auc_roc,
-         round(sum(pos / pp * (tp / (tp + fp) + CASE WHEN tp - pos + fp - neg > 0 THEN (tp - pos) / (tp - pos + fp - neg) ELSE 1.0 END) / 2), 6) AS auc_pr, round(any_value(brier), 6) AS brier
+    + """SELECT c.lang, round(sum(pos * (nn - fp + neg / 2)) / nullif(max(CAST(pp AS DOUBLE) * nn), 0), 6) AS auc_roc,
+         round(sum(pos / nullif(pp, 0) * (tp / (tp + fp) + CASE WHEN tp - pos + fp - neg > 0 THEN (tp - pos) / (tp - pos + fp - neg) ELSE 1.0 END) / 2), 6) AS auc_pr, round(any_value(brier), 6) AS brier
        FROM c JOIN b ON b.lang = c.lang GROUP BY 1""",
 )
 def score_auc_brier(spark, sf):

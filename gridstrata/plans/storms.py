@@ -63,7 +63,7 @@ SEVERITY = """SELECT kind, count(DISTINCT episode) AS n_episodes, round(sum(dama
     CASE WHEN (avg(damage) >= 20000)::INT + (max(damage) >= 1e6)::INT + (avg(crops) >= 20000)::INT + (max(crops) >= 1e6)::INT >= 2 THEN 2
          WHEN (avg(damage) > 5000)::INT + (max(damage) > 5e5)::INT + (avg(crops) > 5000)::INT + (max(crops) > 5e5)::INT >= 1 THEN 1 ELSE 0 END AS severity
     FROM t GROUP BY 1"""
-TYPED = """SELECT l_orderkey AS episode, p_type AS kind, l_extendedprice AS damage, CASE WHEN l_tax > 0.04 THEN l_extendedprice / 8 ELSE 0 END AS crops
+TYPED = """SELECT l_orderkey AS episode, p_type AS kind, l_extendedprice AS damage, CASE WHEN l_tax > 0.04 THEN l_extendedprice / 7 ELSE 0 END AS crops
     FROM lineitem JOIN part ON p_partkey = l_partkey"""
 
 
@@ -75,7 +75,7 @@ TYPED = """SELECT l_orderkey AS episode, p_type AS kind, l_extendedprice AS dama
 )
 def agg_event_type_severity(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    crops = F.when(F.col("l_tax") > 0.04, F.col("l_extendedprice") / 8).otherwise(0.0)
+    crops = F.when(F.col("l_tax") > 0.04, F.col("l_extendedprice") / 7).otherwise(0.0)
     rows = lines.select(
         F.col("l_orderkey").alias("episode"), F.col("p_type").alias("kind"), F.col("l_extendedprice").alias("damage"), crops.alias("crops")
     )
