@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import lexicon, packing, simhash, tokencount
+from gridstrata.llm import forest, lexicon, packing, simhash, substrings, tiles, tokencount
 from gridstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("rest.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, s AS start, array_to_string(words[s:s + 19], ' ') AS k
+  FROM texts, unnest(range(1, len(words) - 18)) AS t(s)),
+repeated AS (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY k ORDER BY doc_id, start) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, start + i AS pos FROM repeated, range(20) AS r(i)),
+words AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+kept AS (
+  SELECT w.doc_id, count(g.pos) AS n_removed, string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+
 @query
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,12 +56,39 @@ def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint, "component_id")
 
 
+@query
+def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_int8_tiles"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x,
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
+                  AND len(list_filter(embedding, c -> c <> 0)) > 0, false) AS usable
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a, v b
+  WHERE a.vec_id <> b.vec_id AND a.usable AND b.usable AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS node FROM v UNION SELECT r.vec_id, l.v FROM reach r JOIN links l ON r.node = l.u),
+least AS (SELECT vec_id, min(node) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, l.component_id, l.component_id = v.vec_id AS kept
+FROM v JOIN least l ON v.vec_id = l.vec_id LEFT JOIN n ON n.u = v.vec_id
+"""
+
+
 @query
 def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = lexicon.decode(lexicon.encode(table(spark, sf_dir, "documents")))
