@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import forest, lexicon, packing, simhash, substrings, tiles, tokencount
+from gridstrata.llm import forest, labelled, lexicon, packing, quality, simhash, substrings, tiles, tokencount
 from gridstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, table(spark, sf_dir, "labels")).select(F.col("row.doc_id").alias("doc_id"), "score")
+    predicted = (F.col("score") >= quality.CUT).cast("int").alias("predicted")
+    return scored.select("doc_id", labelled.held_out(quality.FOLDS, quality.LEFT).alias("held_out"), "score", predicted)
+
+
 @query
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -75,8 +83,8 @@ def op8_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op8_int8_tiles"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS x,
-         coalesce(len(embedding) > 0 AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0
-                  AND len(list_filter(embedding, c -> c <> 0)) > 0, false) AS usable
+         coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+                  AND len(list_filter(embedding, lambda c: c <> 0)) > 0, false) AS usable
   FROM embeddings),
 links AS (
   SELECT a.vec_id AS u, b.vec_id AS v FROM v a, v b
