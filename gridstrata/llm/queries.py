@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import forest, labelled, lexicon, packing, quality, simhash, substrings, tiles, tokencount
+from gridstrata.llm import forest, labelled, lexicon, packing, pii, quality, simhash, substrings, tiles, tokencount, toxicity
 from gridstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint, "component_id")
 
 
+@query
+def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("rest.doc_id", "text", "pii", F.size("pii").alias("n_pii"))
+
+
 @query
 def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.neighbours(table(spark, sf_dir, "embeddings"))
@@ -103,3 +109,11 @@ def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels")).select(F.col("row.doc_id").alias("doc_id"), "score")
+    predicted = (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
+    return scored.select("doc_id", labelled.held_out(toxicity.FOLDS, toxicity.LEFT).alias("held_out"), "score", predicted)

@@ -42,9 +42,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[places[0] : places[-1]], places - places[0]
 
 
-def spans(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of words of each text."""
-    full = ~_BLANK[data]
+def spans(data: np.ndarray, places: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of words of each text; ``blank`` marks the bytes between words."""
+    full = ~blank[data]
     first = full.copy()
     first[1:] &= ~full[:-1]
     edges = places[:-1][places[:-1] < len(data)]
