@@ -3,7 +3,7 @@
 Pass 1 reads every window of every text. Each task keeps one sketch per shard of the hash space: one row of 2^28
 counters, held sparsely (touched counters, counts up to two). Sketches are merged by shard; a merged counter is never
 less than the number of its windows. Each block of documents gets back those of its own counters that reach two.
-Pass 2 reads the texts again, drops windows whose counter says once, and groups the rest exactly by 128 bits of
+Pass 2 reads the texts again, drops windows whose counter says once, and groups the rest exactly by 96 bits of
 hash, with the block's first place of each: the first place of all blocks is what stays. Pass 3 cuts the covered words.
 
 A window in a third of all texts is one counter per task and one entry per block in both groupings.
@@ -39,6 +39,7 @@ def windows(texts: pa.Array, size: int) -> Iterator[tuple]:
         one, first = words.runs(h, counts, size)
         two, _ = words.runs(h, counts, size, 1)
         doc = np.repeat(np.arange(to - at), counts)[first]
+        two = (two >> np.uint64(32)).astype(np.uint32)
         yield at, own, starts, ends, counts, one, two, doc, first - (np.cumsum(counts) - counts)[doc]
         at = to
 
@@ -98,6 +99,37 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int32()), "cells": pa.array(back, pa.binary())})
 
 
+def _wide(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that bytes that are alike stand together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _narrow(planes: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed row per block and batch instead of one row per document."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows = batch.take(pa.array(order)).drop_columns(["block"])
+        names, packed = [], []
+        for b, e in zip(*_cut(block[order])):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_batch(rows.slice(int(b), int(e - b)))
+            names.append(int(block[order[b]]))
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], ["block", "rows"])
+
+
+def _unbundle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for packed in batch.column("rows").to_pylist():
+        yield from pa.ipc.open_stream(packed)
+
+
 class _Block:
     """What one block of documents has found so far in pass 2."""
 
@@ -117,7 +149,7 @@ class _Block:
         shard = _place(one[first], shards)[0]
         for s in np.unique(shard):
             at = first[shard == s]
-            yield int(s), block, one[at].tobytes(), two[at].tobytes(), doc[at].tobytes(), start[at].astype("<i4").tobytes(), many[shard == s].tobytes()
+            yield int(s), block, one[at].tobytes(), two[at].tobytes(), _wide(doc[at]), _wide(start[at].astype("<i4")), many[shard == s].tobytes()
 
 
 def _candidates(size: int, shards: int):
@@ -138,11 +170,12 @@ def _candidates(size: int, shards: int):
                 continue
             if isinstance(state.keys, list):
                 state.keys = np.sort(np.concatenate(state.keys)) if state.keys else np.zeros(0, np.int64)
-            ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
-            for at, *_, one, two, doc, start in windows(as_text(batch.column("text")), size):
-                shard, cell = _place(one, shards)
-                hit = _known(state.keys, shard << _CELLS | cell)[1]
-                state.found.append((one[hit], two[hit], ids[at:][doc[hit]], start[hit]))
+            for rows in _unbundle(batch):
+                ids = rows.column("doc_id").fill_null(_LAST).to_numpy()
+                for at, *_, one, two, doc, start in windows(as_text(rows.column("text")), size):
+                    shard, cell = _place(one, shards)
+                    hit = _known(state.keys, shard << _CELLS | cell)[1]
+                    state.found.append((one[hit], two[hit], ids[at:][doc[hit]], start[hit]))
         yield out(list(state.rows(now, shards)))
 
     return run
@@ -165,10 +198,11 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.
 
 def _first(table: pa.Table) -> pa.Table:
     """Exact groups of one shard: for each block its repeated windows with the place that stays (none if it is not here)."""
-    parts = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in (("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("many", "?"))}
+    parts = {n: [np.frombuffer(x, k) for x in table.column(n).to_pylist()] for n, k in (("one", "<u8"), ("two", "<u4"), ("many", "?"))}
+    parts |= {n: [_narrow(x, k) for x in table.column(n).to_pylist()] for n, k in (("doc", "<i8"), ("start", "<i4"))}
     size = [len(x) for x in parts["one"]]
     block = np.repeat(table.column("block").to_numpy(), size)
-    one, two, doc, start, many = (np.concatenate(parts[n]) for n in parts)
+    one, two, doc, start, many = (np.concatenate(parts[n]) for n in ("one", "two", "doc", "start", "many"))
     order = np.lexsort((start, doc, two, one))
     one, two, doc, start, many, block = (x[order] for x in (one, two, doc, start, many, block))
     new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
@@ -181,7 +215,7 @@ def _first(table: pa.Table) -> pa.Table:
     order = np.argsort(block[repeated], kind="stable")
     cols = [x[repeated][order] for x in (block, one, two, stay_doc, stay_start)]
     for b, e in zip(*_cut(cols[0])):
-        rows.append((int(cols[0][b]), cols[1][b:e].tobytes(), cols[2][b:e].tobytes(), cols[3][b:e].tobytes(), cols[4][b:e].astype("<i4").tobytes()))
+        rows.append((int(cols[0][b]), cols[1][b:e].tobytes(), cols[2][b:e].tobytes(), _wide(cols[3][b:e]), _wide(cols[4][b:e].astype("<i4"))))
     kinds = [pa.int32(), *[pa.binary()] * 4]
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "one", "two", "doc", "start"])
 
@@ -196,36 +230,37 @@ def _remove(size: int):
                 held += zip(*(batch.column(n).to_pylist() for n in ("one", "two", "doc", "start")))
                 continue
             if ready is None:
-                cols = [np.concatenate([np.frombuffer(h[i], k) for h in held] or [np.zeros(0, k)]) for i, k in enumerate(("<u8", "<u8", "<i8", "<i4"))]
-                order = np.lexsort((cols[1], cols[0]))
-                ready = [c[order] for c in cols]
-                keys = ready[0] ^ words.mix(ready[1])
+                read = (lambda x: np.frombuffer(x, "<u8"), lambda x: np.frombuffer(x, "<u4"), lambda x: _narrow(x, "<i8"), lambda x: _narrow(x, "<i4"))
+                ready = [np.concatenate([r(h[i]) for h in held] or [r(b"")]) for i, r in enumerate(read)]
+                keys = ready[0] ^ words.mix(ready[1].astype(np.uint64))
                 order = np.argsort(keys)
                 ready, keys, held = [c[order] for c in ready], keys[order], []
-            ids, kept, n_words, n_removed = batch.column("doc_id").fill_null(_LAST).to_numpy(), [], [], []
-            for at, data, starts, ends, counts, one, two, doc, start in windows(as_text(batch.column("text")), size):
-                place, hit = _known(keys, one ^ words.mix(two))
-                hit = np.flatnonzero(hit)
-                place = place[hit]
-                mine, stay = ids[at:][doc[hit]], ready[2][place]
-                hit = hit[(ready[0][place] == one[hit]) & ((mine > stay) | (mine == stay) & (start[hit] > ready[3][place]))]
-                first = (np.cumsum(counts) - counts)[doc[hit]] + start[hit]
-                cover = np.zeros(len(starts) + 1, np.int64)
-                np.add.at(cover, first, 1)
-                np.add.at(cover, first + size, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                raw, w = data.tobytes(), 0
-                for c in counts.tolist():
-                    lost = gone[w : w + c]
-                    b, e = starts[w : w + c][~lost], ends[w : w + c][~lost]
-                    kept.append(b" ".join([raw[x:y] for x, y in zip(b.tolist(), e.tolist())]))
-                    n_words.append(c)
-                    n_removed.append(int(lost.sum()))
-                    w += c
-            whole = batch.column("text")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rest"), whole, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
-                ["rest", "text", "kept", "n_words", "n_removed"])
+            for rows in _unbundle(batch):
+                yield cut(rows, ready, keys)
+
+    def cut(rows: pa.RecordBatch, ready: list[np.ndarray], keys: np.ndarray) -> pa.RecordBatch:
+        ids, kept, n_words, n_removed = rows.column("doc_id").fill_null(_LAST).to_numpy(), [], [], []
+        for at, data, starts, ends, counts, one, two, doc, start in windows(as_text(rows.column("text")), size):
+            place, hit = _known(keys, one ^ words.mix(two.astype(np.uint64)))
+            hit = np.flatnonzero(hit)
+            place = place[hit]
+            mine, stay = ids[at:][doc[hit]], ready[2][place]
+            hit = hit[(ready[0][place] == one[hit]) & ((mine > stay) | (mine == stay) & (start[hit] > ready[3][place]))]
+            first = (np.cumsum(counts) - counts)[doc[hit]] + start[hit]
+            cover = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + size, -1)
+            gone = np.cumsum(cover[:-1]) > 0
+            raw, w = data.tobytes(), 0
+            for c in counts.tolist():
+                lost = gone[w : w + c]
+                b, e = starts[w : w + c][~lost], ends[w : w + c][~lost]
+                kept.append(b" ".join([raw[x:y] for x, y in zip(b.tolist(), e.tolist())]))
+                n_words.append(c)
+                n_removed.append(int(lost.sum()))
+                w += c
+        columns = [rows.column("rest"), rows.column("text"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["rest", "text", "kept", "n_words", "n_removed"])
 
     return run
 
@@ -253,12 +288,12 @@ def deduplicate(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         both = answers.withColumn("kind", F.lit(0)).unionByName(documents.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         return both.repartitionById(count, F.col("block")).sortWithinPartitions("block", "kind")
 
-    documents = base.select("block", "doc_id", "text")
-    places = meet(often.select("block", "shard", F.col("cells").alias("one")), documents).mapInArrow(
+    rest = base.schema["rest"].dataType.simpleString()
+    packed = lambda *names: base.select("block", *names).mapInArrow(_bundle, "block int, rows binary")
+    places = meet(often.select("block", "shard", F.col("cells").alias("one")), packed("doc_id", "text")).mapInArrow(
         _candidates(size, count), "shard int, block int, one binary, two binary, doc binary, start binary, many binary")
     stays = places.groupBy("shard").applyInArrow(_first, "block int, one binary, two binary, doc binary, start binary")
-    rest = base.schema["rest"].dataType.simpleString()
-    return meet(stays, base).mapInArrow(_remove(size), f"rest {rest}, text string, kept string, n_words long, n_removed long")
+    return meet(stays, packed("doc_id", "text", "rest")).mapInArrow(_remove(size), f"rest {rest}, text string, kept string, n_words long, n_removed long")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
