@@ -45,17 +45,17 @@ def windows(texts: pa.Array, size: int) -> Iterator[tuple]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Ascending 32-bit numbers as differences, byte by byte, which packs well."""
-    return np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Ascending numbers as differences, byte by byte, which packs well."""
+    return _wide(np.diff(values, prepend=np.int64(0)))
 
 
 def _values(planes: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+    return np.cumsum(_narrow(planes, "<i8"))
 
 
 def _place(one: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and counter of a window."""
-    return ((one >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), (one & np.uint64((1 << _CELLS) - 1)).astype(np.uint32)
+    return ((one >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), (one & np.uint64((1 << _CELLS) - 1)).astype(np.int64)
 
 
 def _cut(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,32 +71,30 @@ def _sketch(size: int, shards: int):
             keys = []
             for at, *_, one, _, doc, _ in windows(as_text(batch.column(1)), size):
                 shard, cell = _place(one, shards)
-                keys.append((shard * (1 << 16) + block[at:][doc]) << _CELLS | cell)
-            key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            key, times = np.unique(key, return_counts=True)
-            begins, ends = _cut(key >> _CELLS)
-            rows = [(int(key[b] >> _CELLS), key[b:e], times[b:e] > 1) for b, e in zip(begins, ends)]
-            cell = lambda k: (k & ((1 << _CELLS) - 1)).astype(np.uint32)
+                keys.append((shard << 16 | block[at:][doc]) << _CELLS | cell)
+            key, times = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+            begins, ends = _cut(key >> (_CELLS + 16))
+            own = key & ((1 << (_CELLS + 16)) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g >> 16 for g, _, _ in rows], pa.int32()), pa.array([g & 0xFFFF for g, _, _ in rows], pa.int32()),
-                 pa.array([_planes(cell(k)) for _, k, _ in rows], pa.binary()), pa.array([_planes(cell(k[m])) for _, k, m in rows], pa.binary())],
-                ["shard", "block", "cells", "twice"])
+                [pa.array(key[begins] >> (_CELLS + 16)).cast(pa.int32()), pa.array([_planes(own[b:e]) for b, e in zip(begins, ends)], pa.binary()),
+                 pa.array([_planes(own[b:e][times[b:e] > 1]) for b, e in zip(begins, ends)], pa.binary())],
+                ["shard", "counters", "twice"])
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """The merged sketch of one shard: each block's own counters that reach two."""
-    cells, twice = ([_values(x) for x in table.column(n).to_pylist()] for n in ("cells", "twice"))
-    shard = table.column("shard")[0].as_py()
-    touched, times = np.unique(np.concatenate([*cells, *twice]), return_counts=True)
+    """The merged sketch of one shard: each block's own counters that reach two. Rows hold block and counter as one number."""
+    counters, twice = (np.concatenate([_values(x) for x in table.column(n).to_pylist()]) for n in ("counters", "twice"))
+    cell = (1 << _CELLS) - 1
+    touched, times = np.unique(np.concatenate([counters & cell, twice & cell]), return_counts=True)
     often = touched[times > 1]
-    of: dict[int, list[np.ndarray]] = {}
-    for block, own in zip(table.column("block").to_pylist(), cells):
-        of.setdefault(block, []).append(own[often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own] if len(often) else own[:0])
-    blocks = sorted(of)
-    back = [_planes(np.unique(np.concatenate(of[b]))) for b in blocks]
-    return pa.table({"shard": pa.array([shard] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int32()), "cells": pa.array(back, pa.binary())})
+    back = np.unique(counters[_known(often, counters & cell)[1]])
+    begins, ends = _cut(back >> _CELLS)
+    shard = table.column("shard")[0].as_py()
+    return pa.table({
+        "shard": pa.array([shard] * len(begins), pa.int32()), "block": pa.array(back[begins] >> _CELLS).cast(pa.int32()),
+        "cells": pa.array([_planes(back[b:e] & cell) for b, e in zip(begins, ends)], pa.binary())})
 
 
 def _wide(values: np.ndarray) -> bytes:
@@ -166,7 +164,7 @@ def _candidates(size: int, shards: int):
                 yield out(list(state.rows(now, shards)))
                 now, state = block, _Block()
             if kind == 0:
-                state.keys += [np.int64(s) << _CELLS | _values(c).astype(np.int64) for s, c in zip(batch.column("shard").to_pylist(), batch.column("one").to_pylist())]
+                state.keys += [np.int64(s) << _CELLS | _values(c) for s, c in zip(batch.column("shard").to_pylist(), batch.column("one").to_pylist())]
                 continue
             if isinstance(state.keys, list):
                 state.keys = np.sort(np.concatenate(state.keys)) if state.keys else np.zeros(0, np.int64)
@@ -281,7 +279,7 @@ def deduplicate(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     base = docs.select(F.struct(*others).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("block", _dealt(base, count))
-    sketches = base.select("block", "text").mapInArrow(_sketch(size, count), "shard int, block int, cells binary, twice binary")
+    sketches = base.select("block", "text").mapInArrow(_sketch(size, count), "shard int, counters binary, twice binary")
     often = sketches.groupBy("shard").applyInArrow(_merge, "shard int, block int, cells binary")
 
     def meet(answers: DataFrame, documents: DataFrame) -> DataFrame:

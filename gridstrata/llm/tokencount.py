@@ -57,12 +57,17 @@ def frequencies(texts: list[str], path: str) -> tuple[list[str], np.ndarray, np.
     doc = np.repeat(np.arange(len(texts)), length)
     n = sizes[seen]
     inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    piece, doc = flat[np.repeat(starts[seen], n) + inside], np.repeat(doc, n)
+    inside += np.repeat(starts[seen], n)
+    piece, doc = flat[inside], np.repeat(doc, n)
+    del at, seen, n, inside
     if odd:
         extra = [(named(p), i) for i, own in odd.items() for p in own]
         piece = np.concatenate([piece, np.array([p for p, _ in extra], np.int64)])
         doc = np.concatenate([doc, np.array([i for _, i in extra], np.int64)])
-    pair, times = np.unique(piece * len(texts) + doc, return_counts=True) if len(piece) else (np.zeros(0, np.int64),) * 2
+    piece *= max(1, len(texts))
+    piece += doc
+    del doc
+    pair, times = np.unique(piece, return_counts=True)
     return list(pieces), pair // max(1, len(texts)), pair % max(1, len(texts)), times
 
 
