@@ -59,20 +59,27 @@ class Forest:
             hi[:, t] = np.searchsorted(self.sorted[t], first[:, t] + (np.uint64(1) << cut))
         return lo, hi
 
-    def candidates(self, queries: np.ndarray, share: float = SHARE):
-        """For each query the rows below its prefixes, as numbers of rows in ascending order."""
+    def candidates(self, queries: np.ndarray, share: float = SHARE, least: int = NEAREST + 1):
+        """For each query the rows below its prefixes, as numbers of rows in ascending order, ``least`` or all at least."""
         strings, need = self.strings(queries), share * len(self.x)
         lo, hi = self.below(strings, BITS)
+        depth = np.full(len(queries), BITS)
         live = np.arange(len(queries))
-        for depth in range(BITS - 1, -1, -1):
+        for d in range(BITS - 1, -1, -1):
             live = live[(hi[live] - lo[live]).sum(axis=1) < need]
             if not len(live):
                 break
-            lo[live], hi[live] = self.below(strings[live], depth)
+            depth[live] = d
+            lo[live], hi[live] = self.below(strings[live], d)
         for i in range(len(queries)):
-            mask = np.zeros(len(self.x), bool)
-            for t in range(self.trees):
-                mask[self.order[lo[i, t] : hi[i, t], t]] = True
+            while True:
+                mask = np.zeros(len(self.x), bool)
+                for t in range(self.trees):
+                    mask[self.order[lo[i, t] : hi[i, t], t]] = True
+                if not depth[i] or np.count_nonzero(mask) >= least:
+                    break
+                depth[i] -= 1
+                lo[i : i + 1], hi[i : i + 1] = self.below(strings[i : i + 1], int(depth[i]))
             yield np.flatnonzero(mask)
 
 
@@ -84,7 +91,7 @@ def _visit(width: int, kind: str, nearest: int, share: float, trees: int):
             forest = Forest(x, trees)
             for q in queries.to_pylist():
                 names, y = vectors.unpack(q["ids"], q["vectors"], width, kind)
-                for name, point, near in zip(names, y, forest.candidates(y, share)):
+                for name, point, near in zip(names, y, forest.candidates(y, share, nearest + 1)):
                     near = near[ids[near] != name]
                     gap = x[near] - point
                     score = np.sqrt((gap * gap).sum(axis=1))

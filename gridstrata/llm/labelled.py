@@ -56,7 +56,7 @@ class Net:
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.w = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.array(np.log(rate / (1 - rate)))]
         m, v, step = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, 800 * 256 // max(256, len(fit)))):
             fit = rng.permutation(fit)
             for lo in range(0, len(fit), 256):
                 own = fit[lo : lo + 256]

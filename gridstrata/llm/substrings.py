@@ -99,7 +99,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _wide(values: np.ndarray) -> bytes:
     """Numbers byte by byte, so that bytes that are alike stand together."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
 def _narrow(planes: bytes, kind: str) -> np.ndarray:
@@ -139,6 +139,8 @@ class _Block:
         if not self.found:
             return
         one, two, doc, start = (np.concatenate([f[i] for f in self.found]) for i in range(4))
+        if not len(one):
+            return
         order = np.lexsort((start, doc, two, one))
         one, two, doc, start = one[order], two[order], doc[order], start[order]
         new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])

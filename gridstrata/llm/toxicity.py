@@ -23,6 +23,8 @@ from gridstrata.llm.common import Memo, as_text
 FOLDS, LEFT, CUT = 3, 1, 0.7
 #: Most words that carry a weight.
 LEXICON = 5_000
+#: Share of the toxic labelled documents (and three of them) that a word must stand in to carry a weight.
+RARE = 0.01
 #: Letters that signs may stand for (fixed values).
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -168,9 +170,19 @@ def _plain(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         at = to
 
 
+#: Lengths of word beginnings that count as words of their own (marked by a star), so that endings do not hide a stem.
+STEMS = (4, 5, 6)
+_STEM = np.uint64(0x5851F42D4C957F2D)
+
+
+def with_stems(own: set[str]) -> set[str]:
+    return own | {w[:k] + "*" for w in own for k in STEMS if len(w) > k}
+
+
 def hashed(names: list[str]) -> np.ndarray:
-    data, places = words.buffers(pa.array(names, pa.string()))
-    return words.hashes(data, places[:-1], places[1:])
+    data, places = words.buffers(pa.array([n.rstrip("*") for n in names], pa.string()))
+    star = np.array([n.endswith("*") for n in names], bool)
+    return words.hashes(data, places[:-1], places[1:]) ^ np.where(star, _STEM, np.uint64(0))
 
 
 def _words_of(key: bytes):
@@ -182,6 +194,7 @@ def _words_of(key: bytes):
             out, label = [], []
             for text, y in zip(as_text(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
                 own = set(re.findall("[a-z]+", text.lower())) | {w for *_, w in restore(text, decoder) if w}
+                own = with_stems(own)
                 out += own
                 label += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())], ["word", "label"])
@@ -206,7 +219,10 @@ def features(texts: pa.Array, lexicon: tuple[np.ndarray, np.ndarray], decoder) -
 
     for _, own, starts, ends, doc in _plain(texts):
         add(doc, words.hashes(own, starts, ends))
-    restored = [(i, w) for i, own in enumerate(found) for *_, w in own if w]
+        for k in STEMS:
+            long = np.flatnonzero(ends - starts > k)
+            add(doc[long], words.hashes(own, starts[long], starts[long] + k) ^ _STEM)
+    restored = [(i, w) for i, own in enumerate(found) for word in {w for *_, w in own if w} for w in with_stems({word})]
     if restored:
         add(np.array([i for i, _ in restored]), hashed([w for _, w in restored]))
     return np.stack([top, np.log1p(total), np.log1p(hits)], axis=1), found
@@ -240,7 +256,7 @@ def lexicon_of(rows: DataFrame, key: bytes, size: int = LEXICON) -> list[tuple[s
     if not bad or not fine:
         return []
     seen = rows.select("text", "label").mapInArrow(_words_of(key), "word string, label int").groupBy("word")
-    seen = seen.agg(F.sum("label").alias("bad"), (F.count(F.lit(1)) - F.sum("label")).alias("fine")).where("bad >= 3")
+    seen = seen.agg(F.sum("label").alias("bad"), (F.count(F.lit(1)) - F.sum("label")).alias("fine")).where(F.col("bad") >= max(3.0, RARE * bad))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("fine") + 0.5) / (fine + 1))
     top = seen.withColumn("weight", odds).where("weight > 2").orderBy(F.desc(F.col("weight") * F.log1p("bad")), "word").limit(size)
     return [(r.word, float(r.weight)) for r in top.collect()]
