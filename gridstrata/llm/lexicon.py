@@ -26,7 +26,7 @@ from gridstrata.session import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Most words that the transducer holds; about 40 bytes each.
-LEXICON = 200_000
+LEXICON = 100_000
 #: The split of the byte vocabulary for text whose blanks are single blanks before words (fixed by the vocabulary file).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -130,7 +130,7 @@ def _merged(path: str) -> Memo:
     pack = lambda ids: np.array(ids, "<u4").tobytes()
     forth = {b: c for c, b in vocab._byte_values().items()}
     table = {i: "".join(forth[b] for b in chr(i).encode()) for i in range(256)}
-    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w.translate(table))]), 400_000)
+    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w.translate(table))]), 200_000)
 
     def piece(p: str) -> bytes:
         inner = p[1:] if p[0] == " " else p
@@ -138,7 +138,7 @@ def _merged(path: str) -> Memo:
             return pack(tok.encode(p, add_special_tokens=False).ids)
         return b"".join([word[q] for q in _SPLIT.findall(p)])
 
-    return Memo(piece, 100_000)
+    return Memo(piece, 50_000)
 
 
 def coarse(text: str, special: re.Pattern | None) -> list[str] | None:
@@ -225,8 +225,8 @@ def encode_texts(texts: list[str], lexicon: Transducer, path: str) -> tuple[np.n
 def _encode(name: str, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4000):
-                batch = whole.slice(lo, 4000)
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
                 ids, n = encode_texts(as_text(batch.column(1)).to_pylist(), _opened(name), path)
                 yield pa.RecordBatch.from_arrays([batch.column(0), list_column(pa.array(ids.astype(np.int32)), n)], ["doc_id", "ids"])
 
