@@ -15,14 +15,14 @@ def _memos(path: str) -> Memo:
     tok, bare, special = vocab.tokenizer(path), vocab.bare(path), vocab.specials(path)
     pack = lambda ids: np.array(ids, "<u4").tobytes()
     whole = lambda s: pack(tok.encode(s, add_special_tokens=False).ids)
-    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w)]), 500_000)
+    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w)]), 200_000)
 
     def chunk(c: str) -> bytes:
         if special and special.search(c) or not vocab.PLAIN.match(c):
             return whole(c)
         return b"".join([word[p] for p in vocab.word_pieces(c, path)])
 
-    return Memo(chunk, 300_000)
+    return Memo(chunk, 100_000)
 
 
 def word_ids(text: str, path: str) -> bytes:
