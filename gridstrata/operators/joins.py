@@ -69,23 +69,28 @@ def hours_inside(df: DataFrame, begin: str, end: str, name: str = "hour") -> Dat
     return df.withColumn(name, F.explode(F.sequence(F.date_trunc("hour", begin), ceil, F.expr("INTERVAL 1 HOUR"))))
 
 
-def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y: str, cell: float, growth: int = 4, levels: int = 8) -> DataFrame:
+def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y: str, cell: float, growth: int = 4) -> DataFrame:
     """Nearest site of each point (the smallest id of several), with the squared distance.
 
     Level by level: sites are copied to the 3×3 cells around them, a point looks in its own cell and is settled when
     its best site is closer than the cell size. The rest goes on with larger cells, so dense areas are settled where
-    cells are small. Each level is cut off by a checkpoint; after the last level no point is left, its cell spans all.
+    cells are small. Each level is cut off by a checkpoint; cells grow until they span the extent of points and sites,
+    so that at the latest the last level settles every point with a place. Without sites there are no rows.
     """
-    rest, settled = points, []
+    place = lambda df, *cols: df.agg(*[f(c) for c in cols for f in (F.min, F.max)]).first()
+    ends = [v for v in (*place(points, x, y), *place(sites, x, y)) if v is not None]
+    span = max(ends, default=0) - min(ends, default=0)
+    rest, settled, level, last = points, [], 0, False
     s = sites.select(sid, F.col(x).alias("_sx"), F.col(y).alias("_sy"))
-    for level in range(levels):
+    while not last:
         size = cell * growth**level
+        last, level = size > span, level + 1  # such a cell and its neighbours hold every site
         near = s.withColumn("_cx", around(F.floor(F.col("_sx") / size)))
         near = near.withColumn("_cy", around(F.floor(F.col("_sy") / size)))
         here = rest.withColumns({"_cx": F.floor(F.col(x) / size), "_cy": F.floor(F.col(y) / size)})
         d2 = geo.squared_distance(x, y, "_sx", "_sy")
         best = here.join(near, ["_cx", "_cy"]).groupBy(pid).agg(F.min(F.struct(d2.alias("d2"), sid)).alias("_b"))
-        if level < levels - 1:
+        if not last:
             best = best.where(F.col("_b.d2") <= size * size)
         best = checkpoint(best)
         settled.append(best)
@@ -163,21 +168,30 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(1.0)
 
 
-def _triples(name: str) -> Column:
-    n = F.length(name)
-    starts = F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(3))))
+def _grams(name: str, size: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(F.col(name), i, F.lit(size)))
+
+
+def _triples(name: str, short: bool) -> Column:
+    """Runs of three letters; a name of one or two letters is its own run, and with ``short`` such runs of longer names too."""
+    runs = F.concat(*[_grams(name, k) for k in (1, 2, 3)]) if short else F.when(F.length(name) < 3, F.array(name)).otherwise(_grams(name, 3))
+    return F.array_distinct(runs)
 
 
 def match_names(names: DataFrame, known: DataFrame, block: str, name: str, limit: float = 0.8) -> DataFrame:
     """Best known name of the block for each distinct name: contained in one another, or more alike than the limit.
 
-    Names that alike, or one containing the other, share three letters in a row when they have at least three, and
-    shorter ones are equal, so pairs are found by shared triples of the distinct names.
+    Names that alike, or one containing the other, share three letters in a row when they have at least three. A name of
+    one or two letters is held by any name with that run, so such names meet the one- and two-letter runs of the others.
     """
-    left = names.select(block, F.lower(name).alias("_a")).distinct().withColumn("_t", F.explode(_triples("_a")))
-    right = known.select(block, F.lower(name).alias("_k")).distinct().withColumn("_t", F.explode(_triples("_k")))
-    pairs = left.join(right, [block, "_t"]).select(block, "_a", "_k").distinct()
+    a = names.select(block, F.lower(name).alias("_a")).distinct()
+    k = known.select(block, F.lower(name).alias("_k")).distinct()
+    run = lambda df, c, short: df.withColumn("_t", F.explode(_triples(c, short)))
+    long = run(a, "_a", False).join(run(k, "_k", False), [block, "_t"])
+    brief = run(a.where(F.length("_a") < 3), "_a", False).join(run(k, "_k", True), [block, "_t"])
+    held = run(a, "_a", True).join(run(k.where(F.length("_k") < 3), "_k", False), [block, "_t"])
+    pairs = long.select(block, "_a", "_k").unionByName(brief.select(block, "_a", "_k")).unionByName(held.select(block, "_a", "_k")).distinct()
     pairs = pairs.withColumn("ratio", similarity("_a", "_k"))
     held = F.col("_a").contains(F.col("_k")) | F.col("_k").contains(F.col("_a"))
     best = pairs.where(held | (F.col("ratio") > limit)).groupBy(block, "_a").agg(

@@ -5,6 +5,7 @@ Rolling columns are null until the window is full unless ``min_periods`` is 1, a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -186,9 +187,12 @@ def ewm(df: DataFrame, keys: Sequence[str], ts: str, column: str, step: int, alp
     """Exponentially weighted mean with bias adjustment.
 
     Within a block the weighted sums are prefix sums of value · r^−position; rows whose weight fell below 1e-16 are
-    left behind by the halo. The block length keeps r^−position inside the range of a double.
+    left behind by the halo. Block and halo together keep r^−position inside the range of a double, whatever alpha is;
+    alpha 1 gives the values themselves.
     """
     r = 1 - alpha
+    if r <= 1e-16:
+        return df.withColumn("ewm", F.col(column).cast("double"))
     depth = 1
     while r**depth >= 1e-16:
         depth += 1
@@ -201,7 +205,8 @@ def ewm(df: DataFrame, keys: Sequence[str], ts: str, column: str, step: int, alp
         grow = F.pow(F.lit(1 / r), F.col("_pos"))
         return {"ewm": F.sum(F.col(column) * grow).over(frame) / F.sum(grow).over(frame)}
 
-    return over_blocks(df, keys, ts, [position, mean], before=depth * step, width=500 * step).drop("_pos")
+    width = max(1, min(500, int(300 / -math.log10(r)) - depth))
+    return over_blocks(df, keys, ts, [position, mean], before=depth * step, width=width * step).drop("_pos")
 
 
 def relative_change(column: str, lag: Column) -> Column:
