@@ -27,6 +27,8 @@ from gridstrata.session import shared_dir
 VOCABULARY = "byte_bpe_50k.json"
 #: Most words that the transducer holds; about 40 bytes each.
 LEXICON = 100_000
+#: Distinct words that a counting task holds before it passes them on.
+_DISTINCT = 150_000
 #: The split of the byte vocabulary for text whose blanks are single blanks before words (fixed by the vocabulary file).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -130,7 +132,7 @@ def _merged(path: str) -> Memo:
     pack = lambda ids: np.array(ids, "<u4").tobytes()
     forth = {b: c for c, b in vocab._byte_values().items()}
     table = {i: "".join(forth[b] for b in chr(i).encode()) for i in range(256)}
-    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w.translate(table))]), 200_000)
+    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w.translate(table))]), 100_000)
 
     def piece(p: str) -> bytes:
         inner = p[1:] if p[0] == " " else p
@@ -138,7 +140,7 @@ def _merged(path: str) -> Memo:
             return pack(tok.encode(p, add_special_tokens=False).ids)
         return b"".join([word[q] for q in _SPLIT.findall(p)])
 
-    return Memo(piece, 50_000)
+    return Memo(piece, 30_000)
 
 
 def coarse(text: str, special: re.Pattern | None) -> list[str] | None:
@@ -156,18 +158,25 @@ def coarse(text: str, special: re.Pattern | None) -> list[str] | None:
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = vocab.specials(path)
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in as_text(batch.column(0)).to_pylist():
-                seen.update(coarse(text, special) or ())
+
+        def out(seen: Counter) -> pa.RecordBatch:
             often = [(w, n) for w, n in seen.items() if n > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in as_text(batch.column(0)):
+                seen.update(coarse(text.as_py(), special) or ())
+                if len(seen) > _DISTINCT:
+                    yield out(seen)
+                    seen = Counter()
+        yield out(seen)
 
     return run
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
-    """The ``size`` most frequent words of all texts, counted wherever they stand twice or more in a batch of documents."""
+    """The ``size`` most frequent words of all texts, counted wherever they stand twice or more in a stretch of documents."""
     rows = docs.select(F.col("text").cast("string")).mapInArrow(_counts(path), "word string, n long")
     counts = rows.groupBy("word").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "word").limit(size)
