@@ -32,6 +32,9 @@ _DISTINCT = 150_000
 #: The split of the byte vocabulary for text whose blanks are single blanks before words (fixed by the vocabulary file).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
+#: Coarse pieces that this split cuts as the library does.
+_PLAIN_PIECE = re.compile(" ?[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+\\Z")
+
 
 class Transducer:
     """Arcs sorted by (state, byte) with target and output; states 0 (start) on, and which states end words."""
@@ -127,20 +130,36 @@ class Transducer:
 
 @lru_cache(maxsize=2)
 def _merged(path: str) -> Memo:
-    """Ids of a coarse piece, as bytes, by the vocabulary's merges."""
-    tok, bare, special = vocab.tokenizer(path), vocab.bare(path), vocab.specials(path)
-    pack = lambda ids: np.array(ids, "<u4").tobytes()
+    """Ids of a fine piece, as bytes, by the vocabulary's merges."""
+    bare = vocab.bare(path)
     forth = {b: c for c, b in vocab._byte_values().items()}
     table = {i: "".join(forth[b] for b in chr(i).encode()) for i in range(256)}
-    word = Memo(lambda w: pack([t.id for t in bare.model.tokenize(w.translate(table))]), 100_000)
+    return Memo(lambda w: np.array([t.id for t in bare.model.tokenize(w.translate(table))], "<u4").tobytes(), 100_000)
 
-    def piece(p: str) -> bytes:
-        inner = p[1:] if p[0] == " " else p
-        if p.isspace() or not vocab.PLAIN.match(inner) or special and special.search(p):
-            return pack(tok.encode(p, add_special_tokens=False).ids)
-        return b"".join([word[q] for q in _SPLIT.findall(p)])
 
-    return Memo(piece, 30_000)
+def _found(words: list[str], lexicon: Transducer) -> list[bytes | None]:
+    """Ids of words, as bytes, by the lexicon alone."""
+    number = lexicon.find([w.encode() for w in words])
+    raw = lexicon.ids.tobytes()
+    first, last = lexicon.ends[number].tolist(), lexicon.ends[number + 1].tolist()
+    return [raw[4 * a : 4 * b] if n >= 0 else None for a, b, n in zip(first, last, number.tolist())]
+
+
+def piece_ids(words: list[str], lexicon: Transducer, path: str) -> dict[str, bytes]:
+    """Ids of distinct coarse pieces, as bytes: by the lexicon, else from their fine pieces, looked up or merged."""
+    known = dict(zip(words, _found(words, lexicon)))
+    fine = {}
+    for w in [w for w, ids in known.items() if ids is None]:
+        if _PLAIN_PIECE.match(w) and "<|" not in w:
+            fine[w] = _SPLIT.findall(w)
+        else:
+            known[w] = np.array(vocab.tokenizer(path).encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    parts = list({q for own in fine.values() for q in own})
+    merged = _merged(path)
+    ids = {q: merged[q] if x is None else x for q, x in zip(parts, _found(parts, lexicon))}
+    for w, own in fine.items():
+        known[w] = ids[own[0]] if len(own) == 1 else b"".join([ids[q] for q in own])
+    return known
 
 
 def coarse(text: str, special: re.Pattern | None) -> list[str] | None:
@@ -199,8 +218,8 @@ def compile_lexicon(docs: DataFrame, vocabulary: str | None = None, size: int =
     """Count, compile and publish; returns the name for ``encode``. At most ``size`` words come to the driver."""
     path = vocabulary or vocab.vocabulary(VOCABULARY)
     words = sorted((r.word.encode(), r.word) for r in frequent_words(docs, path, size).collect())
-    merged = _merged(path)
-    ids = [np.frombuffer(merged[w], "<u4").tolist() for _, w in words]
+    known = piece_ids([w for _, w in words], Transducer.build([], []), path)
+    ids = [np.frombuffer(known[w], "<u4").tolist() for _, w in words]
     return publish(docs.sparkSession, Transducer.build([b for b, _ in words], ids))
 
 
@@ -215,13 +234,7 @@ def encode_texts(texts: list[str], lexicon: Transducer, path: str) -> tuple[np.n
     """Ids of all texts in a row, and how many each text has."""
     special = vocab.specials(path)
     cut = [coarse(t, special) for t in texts]
-    words = list({w for own in cut if own for w in own})
-    number = lexicon.find([w.encode() for w in words])
-    merged, known = _merged(path), {}
-    ends, ids = lexicon.ends, lexicon.ids
-    raw = memoryview(np.ascontiguousarray(ids)).cast("B")
-    for w, lo, hi, n in zip(words, (ends[np.maximum(number, 0)] if len(ends) > 1 else number).tolist(), (ends[np.maximum(number, 0) + 1] if len(ends) > 1 else number).tolist(), number.tolist()):
-        known[w] = raw[4 * lo : 4 * hi] if n >= 0 else merged[w]
+    known = piece_ids(list({w for own in cut if own for w in own}), lexicon, path)
     parts = []
     for text, own in zip(texts, cut):
         if own is None:
