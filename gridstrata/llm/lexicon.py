@@ -29,6 +29,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LEXICON = 100_000
 #: Distinct words that a counting task holds before it passes them on.
 _DISTINCT = 150_000
+#: Documents whose words and ids a task holds at once.
+_SLICE = 700
 #: The split of the byte vocabulary for text whose blanks are single blanks before words (fixed by the vocabulary file).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -131,10 +133,10 @@ class Transducer:
 @lru_cache(maxsize=2)
 def _merged(path: str) -> Memo:
     """Ids of a fine piece, as bytes, by the vocabulary's merges."""
-    bare = vocab.bare(path)
+    model = vocab.tokenizer(path).model
     forth = {b: c for c, b in vocab._byte_values().items()}
     table = {i: "".join(forth[b] for b in chr(i).encode()) for i in range(256)}
-    return Memo(lambda w: np.array([t.id for t in bare.model.tokenize(w.translate(table))], "<u4").tobytes(), 100_000)
+    return Memo(lambda w: np.array([t.id for t in model.tokenize(w.translate(table))], "<u4").tobytes(), 100_000)
 
 
 def _found(words: list[str], lexicon: Transducer) -> list[bytes | None]:
@@ -247,8 +249,8 @@ def encode_texts(texts: list[str], lexicon: Transducer, path: str) -> tuple[np.n
 def _encode(name: str, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
+            for lo in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(lo, _SLICE)
                 ids, n = encode_texts(as_text(batch.column(1)).to_pylist(), _opened(name), path)
                 yield pa.RecordBatch.from_arrays([batch.column(0), list_column(pa.array(ids.astype(np.int32)), n)], ["doc_id", "ids"])
 
@@ -280,8 +282,8 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            for lo in range(0, n, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, n, _SLICE):
+                part = batch.slice(lo, _SLICE)
                 lists = part.column(1).fill_null([]) if part.column(1).null_count else part.column(1)
                 counts = lists.value_lengths().to_numpy().astype(np.int64)
                 texts = decode_ids(lists.flatten().to_numpy(), counts, path)
