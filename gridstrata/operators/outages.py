@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstrata.operators.blocks import DAY, block_no, running
+from gridstrata.operators.resample import ends, spine
 
 
 def sessions(
@@ -107,9 +108,9 @@ def simplified_type(kind: str, severity: str) -> Column:
 
 
 def count_active(
-    df: DataFrame, kind: str, begin: str, end: str, kinds: Sequence[str], start: str, stop: str, step: str, seconds: int
+    df: DataFrame, kind: str, begin: str, end: str, kinds: Sequence[str], seconds: int
 ) -> DataFrame:
-    """Events under way per slot and type, on the complete axis.
+    """Events under way per slot and type, on the complete axis from the first begin to the last end.
 
     An event adds one at its first slot and takes it away after its last; running sums over the axis give the counts.
     The work grows with events + slots, not with event length.
@@ -122,8 +123,8 @@ def count_active(
     off = df.select(kind, F.timestamp_seconds(F.unix_timestamp(slot(end)) + seconds).alias("ts"), F.lit(-1).alias("d"))
     names = F.array(*[F.lit(k) for k in kinds])
     axis = df.sparkSession.range(1).select(F.explode(names).alias(kind))
-    axis = axis.withColumn("ts", F.explode(F.expr(f"sequence(timestamp'{start}', timestamp'{stop}', interval {step})")))
+    first, last = ends(df, slot(begin), slot(end))
+    axis = spine(axis, first, last, f"{seconds} seconds")
     deltas = on.unionByName(off).unionByName(axis.withColumn("d", F.lit(0))).groupBy(kind, "ts").agg(F.sum("d").alias("d"))
     counted = running(deltas, [kind], "ts", {"n": F.col("d")}, width=90 * DAY)
-    inside = F.col("ts").between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(stop)))
-    return counted.where(inside).groupBy("ts").pivot(kind, list(kinds)).agg(F.first("n"))
+    return counted.where(F.col("ts") <= last).groupBy("ts").pivot(kind, list(kinds)).agg(F.first("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.operators.blocks import DAY, carry, running
+from gridstrata.operators.resample import ends, spine
 
 
 def find_peaks(x: np.ndarray, distance: int, prominence: float) -> pd.DataFrame:
@@ -124,9 +125,11 @@ def gap_stats(df: DataFrame, keys: Sequence[str], start: str, stop: str, ties: S
     return known.groupBy(*keys).agg(F.avg(length).alias("mean_length"), F.avg(gap).alias("mean_gap"))
 
 
-def interval_labels(df: DataFrame, keys: Sequence[str], start: str, stop: str, first: str, last: str, step: int) -> DataFrame:
+def interval_labels(df: DataFrame, keys: Sequence[str], start: str, stop: str, step: int) -> DataFrame:
     """Label 1 for the stamps of the axis inside ``[start, stop)`` of any interval of the key, else 0.
 
+    The axis has every ``step`` seconds between the first start and the last stop of all keys.
+
     Starts and ends change a running count of open intervals, so long intervals cost no more than short ones.
     """
 
@@ -136,9 +139,8 @@ def interval_labels(df: DataFrame, keys: Sequence[str], start: str, stop: str, f
     some = df.where(F.col(start) < F.col(stop))
     on = some.select(*keys, up(start).alias("ts"), F.lit(1).alias("d"))
     off = some.select(*keys, up(stop).alias("ts"), F.lit(-1).alias("d"))
-    stamps = F.expr(f"sequence(timestamp'{first}', timestamp'{last}', interval {step} seconds)")
-    axis = df.select(*keys).distinct().withColumn("ts", F.explode(stamps)).withColumn("d", F.lit(0))
+    first, last = ends(df, up(start), up(stop))
+    axis = spine(df.select(*keys).distinct(), first, last, f"{step} seconds").withColumn("d", F.lit(0))
     deltas = on.unionByName(off).unionByName(axis).groupBy(*keys, "ts").agg(F.sum("d").alias("d"))
     counted = running(deltas, keys, "ts", {"n": F.col("d")}, width=360 * DAY)
-    inside = F.col("ts").between(F.to_timestamp(F.lit(first)), F.to_timestamp(F.lit(last)))
-    return counted.where(inside).select(*keys, "ts", (F.col("n") > 0).cast("bigint").alias("label"))
+    return counted.select(*keys, "ts", (F.col("n") > 0).cast("bigint").alias("label"))

@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def spine(keys: DataFrame, start: str, end: str, step: str, name: str = "ts") -> DataFrame:
-    """Each key row on every stamp from ``start`` to ``end``; a generator, not a join."""
-    stamps = F.expr(f"sequence(timestamp'{start}', timestamp'{end}', interval {step})")
-    return keys.withColumn(name, F.explode(stamps))
+def ends(df: DataFrame, first: str | Column, last: str | Column | None = None) -> tuple[Column, Column]:
+    """Earliest ``first`` and latest ``last`` (the same column if not given) of a table, as scalar subqueries.
+
+    Both are null for a table without stamps.
+    """
+    facts = df.agg(F.min(first).alias("first"), F.max(first if last is None else last).alias("last"))
+    return facts.select("first").scalar(), facts.select("last").scalar()
+
+
+def _stamp(at: str | Column) -> Column:
+    return F.to_timestamp(F.lit(at)) if isinstance(at, str) else at
+
+
+def spine(keys: DataFrame, start: str | Column, end: str | Column, step: str, name: str = "ts") -> DataFrame:
+    """Each key row on every stamp from ``start`` to ``end``; a generator, not a join. No rows where an end is null."""
+    bounds = keys.withColumns({"_start": _stamp(start), "_end": _stamp(end)})
+    stamps = F.sequence("_start", "_end", F.expr(f"interval {step}"))
+    return bounds.withColumn(name, F.explode(stamps)).drop("_start", "_end")
 
 
 def spine_fill(
-    df: DataFrame, keys: Sequence[str], ts: str, value: str, start: str, end: str, step: str
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, step: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Sum by key and stamp on the complete axis, 0 where nothing was measured.
 
-    The axis rows enter as zeros before the aggregation, so one shuffle serves both the sum and the completion.
+    The axis reaches from the first to the last stamp of all keys; ``start`` or ``end``, if given, bound it instead, and
+    rows outside are left out. Rows without a stamp are in no sum. The axis rows enter as zeros before the aggregation,
+    so one shuffle serves both the sum and the completion.
     """
-    axis = spine(df.select(*keys).distinct(), start, end, step, ts)
+    first, last = ends(df, ts) if start is None or end is None else (None, None)
+    axis = spine(df.select(*keys).distinct(), first if start is None else start, last if end is None else end, step, ts)
     zeros = axis.select(*keys, ts, F.lit(0.0).alias(value))
-    inside = F.col(ts).between(F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end)))
+    inside = F.col(ts).isNotNull()
+    if start is not None:
+        inside &= F.col(ts) >= _stamp(start)
+    if end is not None:
+        inside &= F.col(ts) <= _stamp(end)
     rows = df.where(inside).select(*keys, ts, value).unionByName(zeros)
     return rows.groupBy(*keys, ts).agg(F.sum(value).alias(value))

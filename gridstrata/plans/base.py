@@ -2,7 +2,8 @@
 
 readings  one meter reading per line item: supplier = building, ship date plus a quarter-hour slot = stamp
 hourly    events summed by user (= building) and hour
-grid      the same on the complete hour axis of the month, missing hours are 0
+grid      the same on the complete hour axis from the first to the last event, missing hours are 0
+quarters  the same by quarter hours
 storms    one storm event per line item: begin, end, county, episode, kind, damage
 points    customers as points on a plane, stations suppliers on the same plane
 cells     one raster cell per order, three bands
@@ -17,25 +18,34 @@ from pyspark.sql import functions as F
 from gridstrata.operators.resample import spine_fill
 from gridstrata.sources import table
 
-GRID_START = "2024-01-01 00:00:00"
-GRID_END = "2024-01-30 23:00:00"
+#: Every hour, and every quarter hour, from the first to the last event.
+HOURS = """SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS ts FROM events"""
+QUARTER_HOURS = """SELECT unnest(generate_series(min(time_bucket(INTERVAL 15 MINUTE, ts)), max(time_bucket(INTERVAL 15 MINUTE, ts)), INTERVAL 15 MINUTE)) AS ts
+    FROM events"""
 
 # Units of the energy views. They do not divide evenly, so means of few readings never end on a rounding tie.
 ENERGY_UNIT = 997
 VALUE_UNIT = 0.97
 
+#: Length of an embedding.
+DIMENSIONS = 64
+
 VIEWS = {
     "readings": """SELECT l_suppkey AS bldg_id,
         l_shipdate + to_minutes(CAST(15 * ((l_orderkey * 7 + l_linenumber * 13) % 96) AS INTEGER)) AS ts,
         l_extendedprice / 997 AS energy FROM lineitem""",
     "hourly": """SELECT user_id AS bldg_id, date_trunc('hour', ts) AS ts, sum(value) / 0.97 AS energy
         FROM events GROUP BY ALL""",
-    "grid": """SELECT k.bldg_id, h.ts, coalesce(e.energy, 0.0) AS energy
+    "grid": f"""SELECT k.bldg_id, h.ts, coalesce(e.energy, 0.0) AS energy
         FROM (SELECT DISTINCT user_id AS bldg_id FROM events) k
-        CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-30 23:00:00',
-                    INTERVAL 1 HOUR)) AS ts) h
+        CROSS JOIN ({HOURS}) h
         LEFT JOIN (SELECT user_id AS bldg_id, date_trunc('hour', ts) AS ts, sum(value) / 0.97 AS energy
                    FROM events GROUP BY ALL) e ON e.bldg_id = k.bldg_id AND e.ts = h.ts""",
+    "quarters": f"""SELECT k.bldg_id, h.ts, coalesce(e.energy, 0.0) AS energy
+        FROM (SELECT DISTINCT user_id AS bldg_id FROM events) k
+        CROSS JOIN ({QUARTER_HOURS}) h
+        LEFT JOIN (SELECT user_id AS bldg_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(value) / 0.97 AS energy
+                   FROM events GROUP BY ALL) e ON e.bldg_id = k.bldg_id AND e.ts = h.ts""",
     "storms": """SELECT l_orderkey AS episode, l_linenumber AS event_no, l_suppkey AS county,
         l_returnflag || l_linestatus AS kind, l_shipdate AS begin_ts,
         l_shipdate + to_hours(CAST(l_quantity AS INTEGER)) AS end_ts, l_extendedprice AS damage,
@@ -101,7 +111,16 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select(
         F.col("user_id").alias("bldg_id"), F.date_trunc("hour", "ts").alias("ts"), F.col("value").alias("energy")
     )
-    filled = spine_fill(events, ["bldg_id"], "ts", "energy", GRID_START, GRID_END, "1 hour")
+    filled = spine_fill(events, ["bldg_id"], "ts", "energy", "1 hour")
+    return filled.withColumn("energy", F.col("energy") / VALUE_UNIT)
+
+
+def quarters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select(
+        F.col("user_id").alias("bldg_id"), F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 900) * 900).alias("ts"),
+        F.col("value").alias("energy"),
+    )
+    filled = spine_fill(rows, ["bldg_id"], "ts", "energy", "15 minutes")
     return filled.withColumn("energy", F.col("energy") / VALUE_UNIT)
 
 

@@ -6,9 +6,9 @@ from gridstrata.functions import calendar as cal
 from gridstrata.functions import geo
 from gridstrata.operators import joins
 from gridstrata.operators.blocks import DAY, carry
-from gridstrata.operators.resample import spine
+from gridstrata.operators.resample import ends, spine
 from gridstrata.operators.ranks import with_group_stats
-from gridstrata.plans.base import GRID_END, GRID_START, grid, hourly, long, points, r6, readings, stations, storms, with_
+from gridstrata.plans.base import HOURS, grid, hourly, long, points, r6, readings, stations, storms, with_
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
 from gridstrata.sources import table
@@ -116,12 +116,12 @@ def join_lookback_window(spark, sf):
 
 @query(
     "cross_join_grid",
-    with_("hourly", k="SELECT DISTINCT bldg_id FROM hourly", h="SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts")
+    with_("hourly", k="SELECT DISTINCT bldg_id FROM hourly", h=HOURS)
     + "SELECT k.bldg_id, h.ts, coalesce(round(e.energy, 6), -1.0) AS energy FROM k CROSS JOIN h LEFT JOIN hourly e ON e.bldg_id = k.bldg_id AND e.ts = h.ts",
 )
 def cross_join_grid(spark, sf):
     rows = hourly(spark, sf)
-    axis = spine(table(spark, sf, "events").select(F.col("user_id").alias("bldg_id")).distinct(), GRID_START, GRID_END, "1 hour")
+    axis = spine(table(spark, sf, "events").select(F.col("user_id").alias("bldg_id")).distinct(), *ends(rows, "ts"), "1 hour")
     return axis.join(rows, ["bldg_id", "ts"], "left").select("bldg_id", "ts", F.coalesce(r6("energy"), F.lit(-1.0)).alias("energy"))
 
 

@@ -5,17 +5,17 @@ from pyspark.sql import functions as F
 from gridstrata.functions import calendar as cal
 from gridstrata.operators import cluster, encode, graph
 from gridstrata.operators.blocks import HOUR
-from gridstrata.plans.base import grid, long, r6, readings, with_
+from gridstrata.plans.base import DIMENSIONS, grid, long, r6, readings, with_
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
 from gridstrata.sources import table
 
-DIMS = [f"d{i}" for i in range(8)]
+DIMS = [f"d{i}" for i in range(DIMENSIONS)]
 
 
 def vectors(spark, sf, scale=True):
     rows = table(spark, sf, "embeddings").select(
-        "vec_id", F.col("label").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)]
+        "vec_id", F.col("label").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(DIMENSIONS)]
     )
     return cluster.assemble(rows, DIMS, scale=scale)
 

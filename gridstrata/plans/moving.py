@@ -8,7 +8,7 @@ from gridstrata.functions.text import STOP_WORDS, content_words
 from gridstrata.operators import lags, topk, windows
 from gridstrata.operators.blocks import DAY, HOUR, over_blocks
 from gridstrata.operators.ranks import value_ranks, with_group_stats
-from gridstrata.plans.base import grid, long, r6, readings, with_
+from gridstrata.plans.base import grid, long, quarters, r6, readings, with_
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
 from gridstrata.sources import table
@@ -271,24 +271,29 @@ def win_range_frame_cost(spark, sf):
     return out.select("event_id", r6("cost").alias("cost"))
 
 
-def party(spark, sf):
-    rows = grid(spark, sf).withColumn("shifted", F.col("ts") - F.expr("INTERVAL 15 MINUTES"))
+def party(rows, slots=4, step=HOUR):
+    """Cost of a party that begins at a stamp and lasts ``slots`` stamps."""
+    rows = rows.withColumn("shifted", F.col("ts") - F.expr("INTERVAL 15 MINUTES"))
     cost = tariff.party_load("energy") * tariff.price(F.hour("shifted"))
     rows = rows.withColumn("c", cost)
-    return over_blocks(rows, KEY, "ts", lambda w: {"cost": F.sum("c").over(w.rowsBetween(0, 3))}, after=3 * HOUR).select(
+    return over_blocks(rows, KEY, "ts", lambda w: {"cost": F.sum("c").over(w.rowsBetween(0, slots - 1))}, after=(slots - 1) * step).select(
         "bldg_id", "ts", "cost"
     )
 
 
-PARTY = {
-    "pc": """SELECT bldg_id, ts, (energy * 0.3 + 0.5) * CASE WHEN hour(ts - INTERVAL 15 MINUTE) IN (18, 19, 20, 21) THEN 0.35 ELSE 0.2 END AS c FROM grid""",
-    "p": f"SELECT bldg_id, ts, sum(c) OVER {over(0, 3)} AS cost FROM pc",
-}
+def party_sql(view, slots=4):
+    return {
+        "pc": f"""SELECT bldg_id, ts, (energy * 0.3 + 0.5) * CASE WHEN hour(ts - INTERVAL 15 MINUTE) IN (18, 19, 20, 21) THEN 0.35 ELSE 0.2 END AS c FROM {view}""",
+        "p": f"SELECT bldg_id, ts, sum(c) OVER {over(0, slots - 1)} AS cost FROM pc",
+    }
+
+
+PARTY = party_sql("grid")
 
 
-@query("win_rolling_cost_16", with_("grid", **PARTY) + "SELECT bldg_id, ts, round(cost, 6) AS cost FROM p")
+@query("win_rolling_cost_16", with_("quarters", **party_sql("quarters", 16)) + "SELECT bldg_id, ts, round(cost, 6) AS cost FROM p")
 def win_rolling_cost_16(spark, sf):
-    return rounded(party(spark, sf), KEY)
+    return rounded(party(quarters(spark, sf), 16, 900), KEY)
 
 
 @query(
@@ -370,7 +375,7 @@ def topk_extreme_entities(spark, sf):
     + "SELECT bldg_id, arg_min(ts, {'a': cost, 'b': ts}) AS ts, min(cost) AS cost FROM r GROUP BY 1",
 )
 def topk_cheapest_window(spark, sf):
-    allowed = party(spark, sf).where(F.hour("ts").between(17, 20)).withColumn("cost", r6("cost"))
+    allowed = party(grid(spark, sf)).where(F.hour("ts").between(17, 20)).withColumn("cost", r6("cost"))
     return topk.cheapest(allowed, KEY, "ts", "cost")
 
 
@@ -385,7 +390,7 @@ def topk_cheapest_window(spark, sf):
        FROM j GROUP BY bldg_id, d HAVING count(DISTINCT rd) = 11""",
 )
 def topk_best_in_horizon(spark, sf):
-    costs = party(spark, sf).withColumn("cost", r6("cost"))
+    costs = party(grid(spark, sf)).withColumn("cost", r6("cost"))
     return topk.best_in_horizon(costs, KEY, "ts", "cost").withColumn("date", F.col("date").cast("string"))
 
 

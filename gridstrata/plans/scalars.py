@@ -7,7 +7,7 @@ from gridstrata.functions import calendar as cal
 from gridstrata.operators import encode
 from gridstrata.operators.blocks import HOUR
 from gridstrata.operators.ranks import value_ranks
-from gridstrata.plans.base import grid, long, r6, readings, with_
+from gridstrata.plans.base import DIMENSIONS, grid, long, r6, readings, with_
 from gridstrata.plans.moving import STOP, TOKENS
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
@@ -218,44 +218,44 @@ def fn_clip_percentile(spark, sf):
 
 @query(
     "fn_reshape_week_matrix",
-    with_("grid")
-    + """SELECT bldg_id, date_trunc('week', ts)::TIMESTAMP AS week, CAST(168 AS BIGINT) AS n, round(sum(energy), 6) AS total,
-         coalesce(round(max(energy) FILTER (isodow(ts) = 1 AND hour(ts) = 0), 6), 0.0) AS first, coalesce(round(max(energy) FILTER (isodow(ts) = 7 AND hour(ts) = 23), 6), 0.0) AS last
-       FROM grid GROUP BY 1, 2""",
+    with_(
+        "grid", w="SELECT DISTINCT bldg_id, date_trunc('week', ts)::TIMESTAMP AS week FROM grid",
+        s="SELECT *, CAST(unnest(range(168)) AS BIGINT) AS slot FROM w",
+        g="SELECT bldg_id, date_trunc('week', ts)::TIMESTAMP AS week, (isodow(ts) - 1) * 24 + hour(ts) AS slot, energy FROM grid",
+    )
+    + "SELECT bldg_id, week, slot, coalesce(round(energy, 6), 0.0) AS energy FROM s LEFT JOIN g USING (bldg_id, week, slot)",
 )
 def fn_reshape_week_matrix(spark, sf):
     m = encode.week_matrix(grid(spark, sf), ["bldg_id"], "ts", "energy", 168, HOUR)
-    return m.select(
-        "bldg_id", "week", long(F.size("values")).alias("n"), r6(arrays.total("values")).alias("total"),
-        r6(F.col("values")[0]).alias("first"), r6(F.col("values")[167]).alias("last"),
-    )
+    cells = m.select("bldg_id", "week", F.posexplode("values").alias("slot", "energy"))
+    return cells.select("bldg_id", "week", long("slot").alias("slot"), r6("energy").alias("energy"))
 
 
-FOUR = "SELECT vec_id, CAST(unnest(embedding[1:4]) AS DOUBLE) AS v, unnest(range(4)) AS i FROM embeddings"
-LIMITS = (0.05, 0.1, 0.15, 0.2)
+WHOLE = f"SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range({DIMENSIONS})) AS i FROM embeddings"
+LIMITS = (0.05, 0.1, 0.15, 0.2) * (DIMENSIONS // 4)
 
 
 @query(
     "fn_array_threshold_argmax",
-    f"""WITH f AS ({FOUR}), o AS (SELECT *, greatest(v - ([0.05, 0.1, 0.15, 0.2])[i + 1], 0) AS o FROM f),
+    f"""WITH f AS ({WHOLE}), o AS (SELECT *, greatest(v - ([0.05, 0.1, 0.15, 0.2])[i % 4 + 1], 0) AS o FROM f),
         b AS (SELECT vec_id, max(o) AS top, arg_min(i, {{'a': -o, 'b': i}}) AS over_i, arg_min(i, {{'a': -v, 'b': i}}) AS plain_i FROM o GROUP BY 1)
         SELECT vec_id, CASE WHEN top > 0 THEN over_i ELSE plain_i END AS label FROM b""",
 )
 def fn_array_threshold_argmax(spark, sf):
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
     return rows.select("vec_id", long(arrays.threshold_argmax("v", list(LIMITS))).alias("label"))
 
 
 @query(
     "fn_softmax_by_block",
-    f"""WITH f AS ({FOUR}), e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id, i // 2)) AS e FROM f)
-        SELECT vec_id, i AS pos, round(e / sum(e) OVER (PARTITION BY vec_id, i // 2), 6) AS p FROM e""",
+    f"""WITH f AS ({WHOLE}), e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY vec_id, i // 16)) AS e FROM f)
+        SELECT vec_id, i AS pos, round(e / sum(e) OVER (PARTITION BY vec_id, i // 16), 6) AS p FROM e""",
 )
 def fn_softmax_by_block(spark, sf):
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf, "embeddings").select("vec_id", v.alias("v"))
-    soft = rows.select("vec_id", arrays.softmax_blocks("v", [(0, 2), (2, 2)]).alias("p"))
+    soft = rows.select("vec_id", arrays.softmax_blocks("v", [(i, 16) for i in range(0, DIMENSIONS, 16)]).alias("p"))
     out = soft.select("vec_id", F.posexplode("p").alias("pos", "p"))
     return out.select("vec_id", long("pos").alias("pos"), r6("p").alias("p"))
 

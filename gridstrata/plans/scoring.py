@@ -158,7 +158,7 @@ def score_interval_iou(spark, sf):
 )
 def score_party_cost(spark, sf):
     span = F.col("ts").between(F.to_timestamp(F.lit("2024-01-28")), F.to_timestamp(F.lit("2024-01-28 15:00:00")))
-    rows = party(spark, sf).where(span).withColumn("q", F.col("cost") * (0.8 + (F.col("bldg_id") % 5) / F.lit(10.0)))
+    rows = party(grid(spark, sf)).where(span).withColumn("q", F.col("cost") * (0.8 + (F.col("bldg_id") % 5) / F.lit(10.0)))
     return rounded(evaluate.party_cost_score(rows, ["bldg_id"], "cost", "q"), ["bldg_id"])
 
 

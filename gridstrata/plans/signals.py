@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from gridstrata.functions import calendar as cal
 from gridstrata.operators import peaks, signal, windows
 from gridstrata.operators.blocks import DAY, HOUR, over_blocks
-from gridstrata.operators.resample import spine, spine_fill
-from gridstrata.plans.base import GRID_END, GRID_START, VALUE_UNIT, grid, hourly, long, r6, readings, with_
+from gridstrata.operators.resample import spine
+from gridstrata.plans.base import grid, hourly, long, quarters, r6, readings, with_
 from gridstrata.plans.moving import ENVELOP, KEY, W
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
@@ -103,25 +103,11 @@ def stft_power(spark, sf):
     return rounded(signal.stft_power(table(spark, sf, "embeddings"), "vec_id", "embedding", 16), ["vec_id"])
 
 
-def quarters(spark, sf):
-    rows = table(spark, sf, "events").select(
-        F.col("user_id").alias("bldg_id"), F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 900) * 900).alias("ts"),
-        F.col("value").alias("energy"),
-    )
-    filled = spine_fill(rows, KEY, "ts", "energy", GRID_START, "2024-01-30 23:45:00", "15 minutes")
-    return filled.withColumn("energy", F.col("energy") / VALUE_UNIT)
-
-
-QUARTERS = """SELECT k.bldg_id, h.ts, coalesce(e.energy, 0.0) AS energy FROM (SELECT DISTINCT user_id AS bldg_id FROM events) k
-    CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTE)) AS ts) h
-    LEFT JOIN (SELECT user_id AS bldg_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(value) / 0.97 AS energy FROM events GROUP BY ALL) e ON e.bldg_id = k.bldg_id AND e.ts = h.ts"""
-
-
 @query(
     "opening_closing_time",
     with_(
-        q=QUARTERS,
-        d=f"SELECT *, energy - lag(energy) OVER w AS d, energy - lag(energy, 4) OVER w AS up, lead(energy, 3) OVER w - lag(energy) OVER w AS down FROM q {W}",
+        "quarters",
+        d=f"SELECT *, energy - lag(energy) OVER w AS d, energy - lag(energy, 4) OVER w AS up, lead(energy, 3) OVER w - lag(energy) OVER w AS down FROM quarters {W}",
         s="""SELECT bldg_id, season, hour(ts) * 4 + minute(ts) // 15 AS q, round(avg(d), 9) AS d, round(avg(up), 9) AS up, round(avg(down), 9) AS down
              FROM (SELECT *, unnest(['winter', 'all_year']) AS season FROM d WHERE strftime(ts, '%m-%d') NOT IN ('01-01', '01-15') AND isodow(ts) BETWEEN 1 AND 4) GROUP BY ALL""",
         o="""SELECT bldg_id, season, arg_min(q, {'a': -d, 'b': q}) FILTER (q BETWEEN 12 AND 51) AS opening_1, arg_min(q, {'a': -up, 'b': q}) FILTER (q BETWEEN 12 AND 51) AS opening_2,
@@ -280,13 +266,13 @@ def interval_gap_stats(spark, sf):
 @query(
     "interval_to_labels",
     with_(
-        i=LINES, k="SELECT DISTINCT name FROM i", t="SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY)) AS ts",
+        i=LINES, k="SELECT DISTINCT name FROM i", t="SELECT unnest(generate_series(date_trunc('day', min(start) - INTERVAL 1 SECOND) + INTERVAL 1 DAY, date_trunc('day', max(stop) - INTERVAL 1 SECOND) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS ts FROM i",
         c="SELECT DISTINCT name, unnest(generate_series(date_trunc('day', start - INTERVAL 1 SECOND) + INTERVAL 1 DAY, stop - INTERVAL 1 SECOND, INTERVAL 1 DAY)) AS ts FROM i",
     )
     + "SELECT k.name, t.ts, CAST(c.ts IS NOT NULL AS BIGINT) AS label FROM k CROSS JOIN t LEFT JOIN c ON c.name = k.name AND c.ts = t.ts",
 )
 def interval_to_labels(spark, sf):
-    return peaks.interval_labels(intervals(spark, sf), ["name"], "start", "stop", "1995-01-01 00:00:00", "2001-12-31 00:00:00", DAY)
+    return peaks.interval_labels(intervals(spark, sf), ["name"], "start", "stop", DAY)
 
 
 @query(

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from gridstrata.operators import outages
 from gridstrata.operators.blocks import HOUR, over_blocks
 from gridstrata.operators.ranks import exact_quantiles, most_frequent
-from gridstrata.operators.resample import spine
-from gridstrata.plans.base import GRID_END, GRID_START, grid, long, r6, readings, storms, with_
+from gridstrata.operators.resample import ends, spine
+from gridstrata.plans.base import HOURS, grid, long, r6, readings, storms, with_
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
 from gridstrata.sources import table
@@ -96,14 +96,15 @@ def agg_hourly_sum(spark, sf):
 
 @query(
     "agg_grouper_mean",
-    """WITH h AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts),
+    f"""WITH h AS ({HOURS}),
        m AS (SELECT date_trunc('hour', ts) AS ts, avg(value / 0.97) AS m FROM events WHERE event_type = 'error' GROUP BY 1)
        SELECT h.ts, coalesce(round(m, 6), 0.0) AS mean FROM h LEFT JOIN m ON m.ts = h.ts""",
 )
 def agg_grouper_mean(spark, sf):
-    errors = table(spark, sf, "events").where("event_type = 'error'")
+    events = table(spark, sf, "events")
+    errors = events.where("event_type = 'error'")
     means = errors.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg(F.col("value") / 0.97).alias("m"))
-    axis = spine(spark.range(1).select("id"), GRID_START, GRID_END, "1 hour").drop("id")
+    axis = spine(spark.range(1).select("id"), *ends(events, F.date_trunc("hour", "ts")), "1 hour").drop("id")
     return axis.join(means, "ts", "left").select("ts", F.coalesce(r6("m"), F.lit(0.0)).alias("mean"))
 
 
@@ -137,17 +138,15 @@ def agg_events_by_type_wide(spark, sf):
 @query(
     "agg_event_count_spine",
     with_(
-        "storms", h="SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31 18:00:00', INTERVAL 6 HOUR)) AS ts",
-        e="SELECT kind, time_bucket(INTERVAL 6 HOUR, begin_ts) AS b, time_bucket(INTERVAL 6 HOUR, end_ts) AS e FROM storms",
+        "storms", e="SELECT kind, time_bucket(INTERVAL 6 HOUR, begin_ts) AS b, time_bucket(INTERVAL 6 HOUR, end_ts) AS e FROM storms",
+        h="SELECT unnest(generate_series(min(b), max(e), INTERVAL 6 HOUR)) AS ts FROM e",
         x="SELECT kind, unnest(generate_series(b, e, INTERVAL 6 HOUR)) AS ts FROM e",
         n="SELECT ts, " + ", ".join(f'count(*) FILTER (kind = \'{k}\') AS "{k}"' for k in KINDS) + " FROM x GROUP BY 1",
     )
     + "SELECT h.ts, " + ", ".join(f'coalesce("{k}", 0) AS "{k}"' for k in KINDS) + " FROM h LEFT JOIN n ON n.ts = h.ts",
 )
 def agg_event_count_spine(spark, sf):
-    return outages.count_active(
-        storms(spark, sf), "kind", "begin_ts", "end_ts", KINDS, "1995-01-01 00:00:00", "2001-12-31 18:00:00", "6 hours", 6 * HOUR
-    )
+    return outages.count_active(storms(spark, sf), "kind", "begin_ts", "end_ts", KINDS, 6 * HOUR)
 
 
 @query(
