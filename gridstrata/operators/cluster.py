@@ -120,8 +120,10 @@ def hinge_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, breaks: int =
     rows = attach(df.select(*keys, x, y), keys, ends.where("_a < _z"))
     step = (F.col("_z") - F.col("_a")) / breaks
     at = lambda i: F.col("_a") + step * i
-    gap = F.size(F.filter(F.sequence(F.lit(0), F.lit(breaks - 1)), lambda i: at(i) <= F.col(x)))
     xx, yy = F.col(x), F.col(y)
+    near = F.floor((xx - F.col("_a")) / step)  # off by one at most, where the division rounds
+    last = near + F.when(at(near + 1) <= xx, 1).when(at(near) > xx, -1).otherwise(0)
+    gap = F.least(F.greatest(last + 1, F.lit(0)), F.lit(breaks)).cast("int")
     sums = rows.groupBy(*keys, "_a", "_z", gap.alias("_g")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(xx).alias("sx"), F.sum(yy).alias("sy"), F.sum(xx * xx).alias("sxx"),
         F.sum(xx * yy).alias("sxy"), F.sum(yy * yy).alias("syy"),

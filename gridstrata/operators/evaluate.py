@@ -14,6 +14,7 @@ from gridstrata.functions.arrays import let
 from gridstrata.operators.blocks import DAY, over_blocks, running
 from gridstrata.operators.joins import range_join
 from gridstrata.operators.ranks import attach, exact_quantiles, value_ranks
+from gridstrata.operators.splits import HASH_PRIME, id_hash
 from gridstrata.session import checkpoint
 
 
@@ -199,18 +200,32 @@ def ranking_scores(df: DataFrame, keys: Sequence[str], label: str, score: str) -
     )
 
 
+#: Distance of the hashes of two resamples (a fixed value of the draw).
+RESAMPLE_STEP = 40692
+
+
+def poisson_steps(top: int = 9) -> list[float]:
+    """Distribution function of the Poisson law with mean 1 at 0 … top − 1."""
+    out, p = [], exp(-1.0)
+    for k in range(top):
+        out.append((out[-1] if out else 0.0) + p)
+        p /= k + 1
+    return out
+
+
 def bootstrap(df: DataFrame, keys: Sequence[str], ident: str, error: Column, reps: int = 50, seed: int = 7) -> DataFrame:
     """Mean of the error over resamples with 95 % bounds per key.
 
-    Each row enters resample r with a Poisson(1) weight drawn from its hash: no row order, no shuffle of whole samples.
+    Each row enters resample r with a Poisson(1) weight drawn from its id: no row order, no shuffle of whole samples.
+    The draw squares the id's hash, moved by the resample, so that resamples are not rotations of one another.
     """
-    u = F.pmod(F.xxhash64(F.col(ident), F.col("rep"), F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
-    weight, upto, p = F.lit(0), 0.0, exp(-1.0)
-    for k in range(0, 9):
-        upto += p
-        p /= k + 1
+    moved = (id_hash(ident, seed) + F.col("rep") * RESAMPLE_STEP) % HASH_PRIME
+    u = moved * moved % HASH_PRIME / float(HASH_PRIME)
+    weight = F.lit(0)
+    for upto in poisson_steps():
         weight = weight + (u >= upto).cast("int")
-    rows = df.select(*keys, ident, error.alias("_e")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    rows = df.select(*keys, F.col(ident).cast("bigint").alias(ident), error.alias("_e"))
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)).cast("array<bigint>")))
     means = rows.withColumn("_w", weight).groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_e")) / F.sum("_w")).alias("m"))
     return means.groupBy(*keys).agg(
         F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("n_reps")

@@ -194,7 +194,7 @@ def day_edges(df: DataFrame, keys: Sequence[str], ts: str, begin: Column, end: C
 def range_work(df: DataFrame, key: str, ts: str, value: str, step: int, begin: Column, end: Column) -> DataFrame:
     """Working range in hours: largest per week, smallest of those per month, mean over the months."""
     diff = past_future_diff(df, [key], ts, value, step)
-    cols = {"month": F.month(ts), "week": F.weekofyear(ts), "day": F.date_trunc("day", ts), "hour": F.hour(ts)}
+    cols = {"month": F.date_trunc("month", ts), "week": F.date_trunc("week", ts), "day": F.date_trunc("day", ts), "hour": F.hour(ts)}
     days = diff.withColumns(cols).groupBy(key, "month", "week", "day").agg(
         *[c.alias(n) for n, c in day_edges(diff, [key], ts, begin, end).items()]
     )
@@ -208,7 +208,7 @@ def range_work(df: DataFrame, key: str, ts: str, value: str, step: int, begin: C
 def robust_increment(df: DataFrame, key: str, ts: str, value: str, step: int, by: str, values: Sequence) -> DataFrame:
     """Largest rise per week, smallest of those per month, mean over months; mirrored for drops; one column per bucket."""
     diff = past_future_diff(df, [key], ts, value, step)
-    diff = diff.withColumns({"month": F.month(ts), "week": F.weekofyear(ts), "b": F.weekday(ts) if by == "weekday" else F.hour(ts)})
+    diff = diff.withColumns({"month": F.date_trunc("month", ts), "week": F.date_trunc("week", ts), "b": F.weekday(ts) if by == "weekday" else F.hour(ts)})
     weeks = diff.groupBy(key, "month", "week", "b").agg(F.max("drop").alias("inc"), F.min("drop").alias("dec"))
     months = weeks.groupBy(key, "month", "b").agg(F.min("inc").alias("inc"), F.max("dec").alias("dec"))
     mean = [

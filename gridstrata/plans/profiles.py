@@ -178,7 +178,7 @@ DROP = {
     "p": """SELECT *, CASE WHEN count(energy) OVER w = 4 THEN avg(energy) OVER w END AS past FROM grid
             WINDOW w AS (PARTITION BY bldg_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""",
     "d": """SELECT bldg_id, ts, round(lead(past, 5) OVER (PARTITION BY bldg_id ORDER BY ts) - past, 9) AS drop,
-            month(ts) AS month, week(ts) AS week, date_trunc('day', ts) AS day, hour(ts) AS hour,
+            date_trunc('month', ts) AS month, date_trunc('week', ts) AS week, date_trunc('day', ts) AS day, hour(ts) AS hour,
             isodow(ts) - 1 AS weekday FROM p""",
 }
 

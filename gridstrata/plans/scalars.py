@@ -118,7 +118,23 @@ def fn_tz(spark, sf):
     return table(spark, sf, "events").select("event_id", F.to_utc_timestamp("ts", "America/New_York").alias("utc"))
 
 
-@query("fn_time_to_event")
+SUN = {
+    "a": """SELECT event_id, 2 * pi() / 365.0::DOUBLE * (dayofyear(ts) - 1) AS a, radians((user_id % 60 - 10)::DOUBLE) AS phi, -((user_id * 7) % 120)::DOUBLE AS lon,
+        hour(ts) * 60 + minute(ts) + second(ts) / 60.0::DOUBLE AS now FROM events""",
+    "s": """SELECT *, 0.006918::DOUBLE - 0.399912 * cos(a) + 0.070257 * sin(a) - 0.006758 * cos(2 * a) + 0.000907 * sin(2 * a) AS decl,
+        229.18::DOUBLE * (0.000075 + 0.001868 * cos(a) - 0.032077 * sin(a) - 0.014615 * cos(2 * a) - 0.040849 * sin(2 * a)) AS equation FROM a""",
+    "c": """SELECT *, 720 - 4 * lon - equation AS noon, (sin(radians(-0.833::DOUBLE)) - sin(phi) * sin(decl)) / (cos(phi) * cos(decl)) AS x1,
+        (sin(radians(-6.0::DOUBLE)) - sin(phi) * sin(decl)) / (cos(phi) * cos(decl)) AS x2 FROM s""",
+    "d": """SELECT *, CASE WHEN abs(x1) <= 1 THEN 4 * degrees(acos(x1)) END AS rise, CASE WHEN abs(x2) <= 1 THEN 4 * degrees(acos(x2)) END AS twilight FROM c""",
+}
+
+
+@query(
+    "fn_time_to_event",
+    with_(**SUN)
+    + """SELECT event_id, round(noon - twilight - now, 4) AS to_dawn, round(noon - rise - now, 4) AS to_sunrise, round(noon - now, 4) AS to_noon,
+         round(noon + rise - now, 4) AS to_sunset, round(noon + twilight - now, 4) AS to_dusk FROM d""",
+)
 def fn_time_to_event(spark, sf):
     lat, lon = F.col("user_id") % 60 - 10, -((F.col("user_id") * 7) % 120).cast("double")
     sun = cal.minutes_to_sun_event("ts", lat.cast("double"), lon)

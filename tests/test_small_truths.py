@@ -184,3 +184,36 @@ def test_hinge_fit_recovers_break(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x, "y": y}))
     r = cluster.hinge_fit(df, ["k"], "x", "y").first()
     assert r["slope"] == pytest.approx(-2, abs=0.1) and 10 < r["t"] < 14
+
+
+def test_hinge_gap_equals_counted_break_points(spark):
+    """The arithmetic gap puts every row where counting the break points puts it, rows on a break point included."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(-20, 40, 400), np.arange(-20, 41, 0.3), [-20.0, 40.0]])
+    y = np.where(x < 10, 20 - 2 * x, 0.0) + rng.normal(0, 0.1, len(x))
+    pdf = pd.DataFrame({"k": 1, "x": x, "y": y})
+    got = cluster.hinge_fit(spark.createDataFrame(pdf), ["k"], "x", "y").first()
+    a, z = x.min() + 3, x.max() - 3
+    best = None
+    for i in range(20):
+        t = a + (z - a) / 20 * i
+        low = x < t
+        slope, intercept = np.polyfit(x[low], y[low], 1)
+        rmse = round(float(np.sqrt((((y - slope * x - intercept)[low] ** 2).sum() + (y[~low] ** 2).sum()) / len(x))), 9)
+        if best is None or rmse < best[0]:
+            best = rmse, t, slope, intercept
+    assert np.allclose([got.rmse, got.t, got.slope, got.intercept], best, atol=1e-6)
+
+
+def test_range_work_keeps_years_apart(spark):
+    """The same weeks of two years, flat in the second: its rises count as own months."""
+    from gridstrata.operators import profile
+
+    ts = list(pd.date_range("2023-03-06", periods=14 * 24, freq="h")) + list(pd.date_range("2024-03-04", periods=14 * 24, freq="h"))
+    v = [10.0 if t.year == 2023 and t.hour >= 8 else 1.0 for t in ts]
+    pdf = pd.DataFrame({"k": 1, "ts": ts, "v": v})
+    df = spark.createDataFrame(pdf).repartition(2)
+    one = df.where("year(ts) = 2023")
+    both = profile.robust_increment(df, "k", "ts", "v", 3600, "hour", [5]).first()
+    alone = profile.robust_increment(one, "k", "ts", "v", 3600, "hour", [5]).first()
+    assert alone.increment_hour_5 > 0 and abs(both.increment_hour_5 - alone.increment_hour_5 / 2) < 1e-9
