@@ -216,6 +216,8 @@ def poisson_steps(top: int = 9) -> list[float]:
 def bootstrap(df: DataFrame, keys: Sequence[str], ident: str, error: Column, reps: int = 50, seed: int = 7) -> DataFrame:
     """Mean of the error over resamples with 95 % bounds per key.
 
+    A resample that draws no row of a key is left out of that key's numbers; ``n_reps`` counts the others.
+
     Each row enters resample r with a Poisson(1) weight drawn from its id: no row order, no shuffle of whole samples.
     The draw squares the id's hash, moved by the resample, so that resamples are not rotations of one another.
     """
@@ -226,7 +228,7 @@ def bootstrap(df: DataFrame, keys: Sequence[str], ident: str, error: Column, rep
         weight = weight + (u >= upto).cast("int")
     rows = df.select(*keys, F.col(ident).cast("bigint").alias(ident), error.alias("_e"))
     rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)).cast("array<bigint>")))
-    means = rows.withColumn("_w", weight).groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_e")) / F.sum("_w")).alias("m"))
+    means = rows.withColumn("_w", weight).groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_e")), F.sum("_w")).alias("m"))
     return means.groupBy(*keys).agg(
         F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("n_reps")
     )

@@ -227,7 +227,7 @@ def score_auc_brier(spark, sf):
         v=f"SELECT lang, e, rep, (h + rep * {evaluate.RESAMPLE_STEP}) % {splits.HASH_PRIME} AS v FROM r",
         u=f"SELECT lang, e, rep, v * v % {splits.HASH_PRIME} / {splits.HASH_PRIME}.0::DOUBLE AS u FROM v",
         w="SELECT lang, e, rep, " + " + ".join(f"CAST(u >= {s!r}::DOUBLE AS INTEGER)" for s in evaluate.poisson_steps()) + " AS w FROM u",
-        m="SELECT lang, rep, sum(w * e) / sum(w) AS m FROM w GROUP BY ALL",
+        m="SELECT lang, rep, sum(w * e) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL",
     )
     + """SELECT lang, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(m) AS n_reps
          FROM m GROUP BY 1""",
