@@ -4,11 +4,15 @@ Characters of a disguised word (digits and signs for letters, letters set apart,
 letters they may stand for. A character language model, counted over all documents, weighs the paths with the costs of
 each disguise, and Viterbi's algorithm takes the best. Plain words have one path and stay as they are. Words that occur
 more often in toxic labelled documents get a weight; a document's weights give its score by a calibrated logistic model.
+
+Words are runs of Unicode letters and their marks in every script, in lower case and composed form. In the letter model an
+accented Latin letter counts as its base letter; letters of other scripts have one path and a fixed cost.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,34 +34,65 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
     "+": "t", "(": "c", "<": "c", "*": "aeiouc", "#": "aeiouh", "%": "aeiou", "?": "aeiou",
 }
-_LOOKS_COST, _DROP_COST, _EDGE_COST = 1.0, 0.5, 8.0
-_LETTER = np.zeros(256, np.int64)  # 1 to 26, 0 for the edge of a word
-_LETTER[97:123] = np.arange(1, 27)
-_LETTER[65:91] = np.arange(1, 27)
+_LOOKS_COST, _DROP_COST, _EDGE_COST, _OTHER_COST = 1.0, 0.5, 8.0, 4.0
 _CELLS = 27**3
 _SIGNS = "".join(LOOKS)
+_L = r"[^\W\d_]"  # a letter of any script
 #: Inside a word: a sign between, before or after letters; the same letter thrice; letters set apart by one sign or blank each.
-_MIXED = re.compile(rf"(?<!\S)[^\w\s]{{0,2}}?((?=\S*[A-Za-z])(?:[A-Za-z]|[{re.escape(_SIGNS)}]|(?<=[A-Za-z])[-._](?=[A-Za-z])){{3,40}})[.,;:!?]*(?!\S)")
-_APART = re.compile(r"(?<![\w])(?:[A-Za-z0-9@$!|*](?:[ ._\-]|[ ]?[._\-][ ]?)){2,}[A-Za-z0-9@$!|*](?![\w])")
-_DRAWN = re.compile(r"([A-Za-z])\1\1")
+_MIXED = re.compile(rf"(?<!\S)[^\w\s]{{0,2}}?((?=\S*{_L})(?:{_L}|[{re.escape(_SIGNS)}]|(?<={_L})[-._](?={_L})){{3,40}})[.,;:!?]*(?!\S)")
+_APART = re.compile(rf"(?<![\w])(?:(?:{_L}|[0-9@$!|*])(?:[ ._\-]|[ ]?[._\-][ ]?)){{2,}}(?:{_L}|[0-9@$!|*])(?![\w])")
+_DRAWN = re.compile(rf"({_L})\1\1")
 _TAIL = re.compile(r"(.)\1*$")
 
 
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point whether it lies between words, and its letter in the model: 1 to 26, 0 for the edge of a word."""
+    gap, letter = np.ones(0x110000, bool), np.zeros(0x110000, np.int64)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
+            gap[c] = False
+        if kind == "L":
+            base = unicodedata.normalize("NFKD", chr(c)).lower()[0]
+            letter[c] = ord(base) - 96 if "a" <= base <= "z" else 0
+    return gap, letter
+
+
+def folded(text: str) -> str:
+    """Lower case and composed form."""
+    return unicodedata.normalize("NFC", text.lower())
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """Slices of texts: first text, the folded texts in a row, their code points, places at which texts begin and end."""
+    at = 0
+    while at < len(texts):
+        own, size, to = [], 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 21):
+            own.append(folded(texts[to]))
+            size += len(texts[to])
+            to += 1
+        row = "".join(own)
+        yield at, row, np.frombuffer(row.encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, own)])
+        at = to
+
+
 def letters(texts: pa.Array) -> np.ndarray:
-    """Counts of all runs of three letters of all texts, a–z without case; everything else is an edge."""
-    data, places = words.buffers(texts)
+    """Counts of all runs of three letters of all texts, Latin letters without case and accents; everything else is an edge."""
     total = np.zeros(_CELLS, np.int64)
-    for lo in range(0, len(data), 1 << 22):
-        c = _LETTER[data[max(0, lo - 2) : lo + (1 << 22)]]
-        edge = np.zeros(len(c) + 1, bool)
-        inner = places[(places > max(0, lo - 2)) & (places < lo + (1 << 22))] - max(0, lo - 2)
-        edge[inner] = True
-        a, b, d = c[:-2].copy(), c[1:-1].copy(), c[2:]
-        cut = edge[2 : len(c)]  # the third character begins another text
-        a[edge[1 : len(c) - 1]] = 0
-        a[cut], b[cut] = 0, 0
-        a[b == 0] = 0  # nothing before an edge is known
-        total += np.bincount((a * 27 + b) * 27 + d, minlength=_CELLS)
+    for _, _, codes, places in _slices(texts.to_pylist()):
+        for lo in range(0, len(codes), 1 << 21):
+            c = _tables()[1][codes[max(0, lo - 2) : lo + (1 << 21)]]
+            edge = np.zeros(len(c) + 1, bool)
+            inner = places[(places > max(0, lo - 2)) & (places < lo + (1 << 21))] - max(0, lo - 2)
+            edge[inner] = True
+            a, b, d = c[:-2].copy(), c[1:-1].copy(), c[2:]
+            cut = edge[2 : len(c)]  # the third character begins another text
+            a[edge[1 : len(c) - 1]] = 0
+            a[cut], b[cut] = 0, 0
+            a[b == 0] = 0  # nothing before an edge is known
+            total += np.bincount((a * 27 + b) * 27 + d, minlength=_CELLS)
     return total
 
 
@@ -83,21 +118,21 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(chance)
 
 
-def lattice(seen: str) -> list[tuple[dict[int, float], float | None]]:
+def lattice(seen: str) -> list[tuple[dict[str, float], float | None]]:
     """Per observed character the letters it may be with their costs, and the cost of leaving it out (None: it stays)."""
     out = []
-    for i, ch in enumerate(seen.lower()):
-        before, after = seen[i - 1 : i].lower(), seen[i + 1 : i + 2].lower()
-        if ch in " ._-":
+    gap, _ = _tables()
+    for i, ch in enumerate(seen):
+        before, after = seen[i - 1 : i], seen[i + 1 : i + 2]
+        plain = not gap[ord(ch)]
+        if not plain and ch not in LOOKS:
             out.append(({}, 0.0))
             continue
-        options = {ord(ch) - 96: 0.0} if "a" <= ch <= "z" else {ord(x) - 96: _LOOKS_COST + 0.3 * (len(LOOKS[ch]) > 2) for x in LOOKS.get(ch, "")}
+        options = {ch: 0.0} if plain else {x: _LOOKS_COST + 0.3 * (len(LOOKS[ch]) > 2) for x in LOOKS[ch]}
         drop = None
         if ch == before:  # a letter drawn out loses copies easily, a double letter does not
-            drop = _DROP_COST if ch == after or seen[i - 2 : i - 1].lower() == ch else _EDGE_COST
-        elif not options:
-            drop = 0.0
-        elif not "a" <= ch <= "z" and not (before and after):
+            drop = _DROP_COST if ch == after or seen[max(0, i - 2) : max(0, i - 1)] == ch else _EDGE_COST
+        elif not plain and not (before and after):
             drop = _EDGE_COST
         out.append((options, drop))
     return out
@@ -105,27 +140,34 @@ def lattice(seen: str) -> list[tuple[dict[int, float], float | None]]:
 
 def decode(seen: str, model: np.ndarray) -> str:
     """The letters most likely meant by an observed string."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options, drop in lattice(seen):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+    letter = _tables()[1]
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # the word as links from its last letter back
+    for options, drop in lattice(folded(seen)):
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, word) in states.items():
             if drop is not None:
                 old = new.get((a, b))
-                if old is None or (cost + drop, word) < old:
+                if old is None or cost + drop < old[0]:
                     new[a, b] = cost + drop, word
-            for letter, price in options.items():
-                at = cost + price + model[a, b, letter], word + chr(96 + letter)
-                old = new.get((b, letter))
-                if old is None or at < old:
-                    new[b, letter] = at
+            for ch, price in options.items():
+                at = int(letter[ord(ch)])
+                own = cost + price + (model[a, b, at] if at else _OTHER_COST)
+                state = (b, at) if at else (0, 0)
+                old = new.get(state)
+                if old is None or own < old[0]:
+                    new[state] = own, (word, ch)
         states = new or states
-    return min((cost + model[a, b, 0], word) for (a, b), (cost, word) in states.items())[1]
+    word, out = min((cost + model[a, b, 0], i, word) for i, ((a, b), (cost, word)) in enumerate(states.items()))[2], []
+    while word:
+        word, ch = word
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def disguised(text: str) -> Iterator[tuple[int, int]]:
     """Places of strings that may be disguised words."""
     for m in _APART.finditer(text):
-        if len(set(m.group().lower()) & set("abcdefghijklmnopqrstuvwxyz")) > 1:
+        if sum(map(str.isalpha, set(m.group().lower()))) > 1:
             yield m.span()
     for m in _MIXED.finditer(text):
         own = m.group(1)
@@ -133,16 +175,12 @@ def disguised(text: str) -> Iterator[tuple[int, int]]:
         tail = _TAIL.search(body)
         if tail and len(tail.group()) > 1 and not tail.group()[0].isalnum():
             body = body[: tail.start()]
-        if len(body) > 2 and (not body.isalpha() or _DRAWN.search(body)) and re.search("[A-Za-z]", body) and sum(c.isalpha() for c in body) * 3 >= len(body):
+        if len(body) > 2 and (not body.isalpha() or _DRAWN.search(body)) and re.search(_L, body) and sum(c.isalpha() for c in body) * 3 >= len(body):
             yield m.start(1), m.start(1) + len(body)
 
 
-_LETTERS_ONLY = np.ones(256, bool)
-_LETTERS_ONLY[97:123] = _LETTERS_ONLY[65:91] = False
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 #: Any character that a disguise needs beside letters, or a letter thrice.
-_HINT = re.compile(r"[0-9@$|*#%+!(<?]\S?[A-Za-z]|[A-Za-z][0-9@$|*#%+(<]|[A-Za-z][._\-][A-Za-z]|(?<![^\W_])[A-Za-z] [A-Za-z0-9@$!|*] [A-Za-z0-9@$!|*](?![^\W_])|([A-Za-z])\1\1")
+_HINT = re.compile(rf"[0-9@$|*#%+!(<?]\S?{_L}|{_L}[0-9@$|*#%+(<]|{_L}[._\-]{_L}|(?<![^\W_]){_L} (?:{_L}|[0-9@$!|*]) (?:{_L}|[0-9@$!|*])(?![^\W_])|({_L})\1\1")
 
 
 @lru_cache(maxsize=1)
@@ -158,19 +196,15 @@ def restore(text: str, decoder) -> list[tuple[int, int, str]]:
     return [(a, b, decoder[text[a:b]]) for a, b in sorted(set(disguised(text)))]
 
 
-def _plain(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices: first text, bytes in lower case, starts and ends of runs of letters, text of each run."""
-    data, places = words.buffers(texts)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(places, places[at] + (1 << 22), "right")) - 1)
-        own = _FOLD[data[places[at] : places[to]]]
-        starts, ends, counts = words.spans(own, places[at : to + 1] - places[at], _LETTERS_ONLY)
-        yield at, own, starts, ends, np.repeat(np.arange(at, to), counts)
-        at = to
+def _plain(texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices: folded texts in a row, code points, starts and ends of runs of letters, text of each run."""
+    gap, _ = _tables()
+    for at, row, codes, places in _slices(texts):
+        starts, ends, counts = words.spans(codes, places, gap)
+        yield row, codes, starts, ends, np.repeat(np.arange(at, at + len(counts)), counts)
 
 
-#: Lengths of word beginnings that count as words of their own (marked by a star), so that endings do not hide a stem.
+#: Lengths in characters of word beginnings that count as words of their own (marked by a star), so that endings do not hide a stem.
 STEMS = (4, 5, 6)
 _STEM = np.uint64(0x5851F42D4C957F2D)
 
@@ -191,10 +225,12 @@ def _words_of(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(key)
         for batch in batches:
-            out, label = [], []
-            for text, y in zip(as_text(batch.column(0)).to_pylist(), batch.column(1).to_pylist()):
-                own = set(re.findall("[a-z]+", text.lower())) | {w for *_, w in restore(text, decoder) if w}
-                own = with_stems(own)
+            out, label, texts = [], [], as_text(batch.column(0)).to_pylist()
+            seen = [{w for *_, w in restore(text, decoder) if w} for text in texts]
+            for row, _, starts, ends, doc in _plain(texts):
+                for i, lo, hi in zip(doc.tolist(), starts.tolist(), ends.tolist()):
+                    seen[i].add(row[lo:hi])
+            for own, y in zip(map(with_stems, seen), batch.column(1).to_pylist()):
                 out += own
                 label += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())], ["word", "label"])
@@ -205,7 +241,8 @@ def _words_of(key: bytes):
 def features(texts: pa.Array, lexicon: tuple[np.ndarray, np.ndarray], decoder) -> tuple[np.ndarray, list[list[tuple[int, int, str]]]]:
     """Per text the largest weight, the sum of weights of its words and how many words carry one; and what was restored."""
     names, weights = lexicon
-    found = [restore(t, decoder) for t in texts.to_pylist()]
+    own = texts.to_pylist()
+    found = [restore(t, decoder) for t in own]
     top, total, hits = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
 
     def add(doc: np.ndarray, h: np.ndarray) -> None:
@@ -217,12 +254,14 @@ def features(texts: pa.Array, lexicon: tuple[np.ndarray, np.ndarray], decoder) -
         np.add.at(total, doc[hit], weights[at[hit]])
         np.add.at(hits, doc[hit], 1)
 
-    for _, own, starts, ends, doc in _plain(texts):
-        add(doc, words.hashes(own, starts, ends))
+    for row, codes, starts, ends, doc in _plain(own):
+        data = np.frombuffer(row.encode(), np.uint8)
+        place = np.cumsum(np.concatenate([[0], 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)]))  # of each character in UTF-8
+        add(doc, words.hashes(data, place[starts], place[ends]))
         for k in STEMS:
             long = np.flatnonzero(ends - starts > k)
-            add(doc[long], words.hashes(own, starts[long], starts[long] + k) ^ _STEM)
-    restored = [(i, w) for i, own in enumerate(found) for word in {w for *_, w in own if w} for w in with_stems({word})]
+            add(doc[long], words.hashes(data, place[starts[long]], place[starts[long] + k]) ^ _STEM)
+    restored = [(i, w) for i, spans in enumerate(found) for word in {w for *_, w in spans if w} for w in with_stems({word})]
     if restored:
         add(np.array([i for i, _ in restored]), hashed([w for _, w in restored]))
     return np.stack([top, np.log1p(total), np.log1p(hits)], axis=1), found

@@ -170,3 +170,24 @@ def test_pipeline_stages(base, small):
 def test_stages_take_odd_rows(base, make, hard, small, stage):
     assert stage[1](base, make(hard), small).count() >= 0
     assert stage[1](base, make([]), small).count() == 0
+
+
+def test_words_of_all_scripts_are_scored(base):
+    """Held-out recall per language: toxic documents marked by words that begin alike, in Latin with accents and in other scripts."""
+    marks = {"fr": "réêux", "de": "über", "ru": "дурак", "el": "βλάκας", "hi": "मूर्ख", "en": "idiot"}
+    rng = np.random.default_rng(5)
+    rows, labels, i = [], [], 0
+    for lang, mark in marks.items():
+        for k in range(120):
+            plain = ["".join(rng.choice(list(mark[1:] + "aeé"), 6)) for _ in range(12)]
+            toxic = k % 3 == 0
+            rows.append((i, " ".join([*plain, mark.upper() + "".join(rng.choice(list("aeé"), 3)), "r euxment"] if toxic else [*plain, "r euxment"]), lang))
+            labels.append((i, int(toxic)))
+            i += 1
+    docs = base.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = toxicity.score(docs, base.createDataFrame(labels, "doc_id long, toxic int")).select("row.doc_id", "row.lang", "score", labelled.held_out(3, 1).alias("held")).where("held").collect()
+    truth = dict(labels)
+    for lang in marks:
+        bad = [r.score >= 0.7 for r in got if r.lang == lang and truth[r.doc_id]]
+        fine = [r.score >= 0.7 for r in got if r.lang == lang and not truth[r.doc_id]]
+        assert len(bad) > 5 and np.mean(bad) >= 0.9 and np.mean(fine) <= 0.1, lang
