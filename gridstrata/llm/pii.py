@@ -7,6 +7,7 @@ becomes another valid value of the same form, the same one in every document, an
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import hmac
@@ -66,7 +67,7 @@ def refill(pattern: str, chars: str) -> str:
 
 def classes(text: str, tweak: bytes, key: bytes, back: bool = False) -> str:
     """Letters and digits permuted as one number whose digits have the size of their class; all else stays."""
-    sets = ["0123456789" if c in "0123456789" else "abcdef" if c in "abcdef" and tweak == b"hex" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c for c in text]
+    sets = ["0123456789" if c in "0123456789" else "abcdef" if c in "abcdef" and tweak == b"hex" else "ABCDEF" if c in "ABCDEF" and tweak == b"hex" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c for c in text]
     size, value = 1, 0
     for c, own in zip(text, sets):
         size, value = size * len(own), value * len(own) + own.index(c)
@@ -91,15 +92,14 @@ def card(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 def phone(text: str, key: bytes, back: bool = False) -> str | None:
-    """+1 numbers with area and exchange from 200 on; other numbers with + and 8 to 15 digits keep their first two."""
+    """+1 numbers keep area and exchange below 200 or from 200 on; other numbers with + and 8 to 15 digits keep their first two."""
     digits = re.sub(r"\D", "", text)
     if text.startswith("+1") and len(digits) == 11 or not text.startswith("+") and len(digits) == 10:
         head, area, exchange, line = digits[:-10], int(digits[-10:-7]), int(digits[-7:-4]), int(digits[-4:])
-        if area < 200 or exchange < 200:
-            return None
-        value = permute(((area - 200) * 800 + exchange - 200) * 10_000 + line, 6_400_000_000, b"phone", key, back)
+        (low, n), (least, m) = ((200, 800) if x >= 200 else (0, 200) for x in (area, exchange))
+        value = permute(((area - low) * m + exchange - least) * 10_000 + line, n * m * 10_000, b"phone", key, back)
         value, line = divmod(value, 10_000)
-        return refill(text, f"{head}{value // 800 + 200}{value % 800 + 200}{line:04}")
+        return refill(text, f"{head}{value // m + low:03}{value % m + least:03}{line:04}")
     if text.startswith("+") and 8 <= len(digits) <= 15:
         return refill(text, digits[:2] + str(permute(int(digits[2:]), 10 ** (len(digits) - 2), b"phone", key, back)).zfill(len(digits) - 2))
     return None
@@ -141,19 +141,29 @@ def iban(text: str, key: bytes, back: bool = False) -> str | None:
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
+#: Days that are no month: written with slashes they can only stand first.
+_LATE = [i for i in range(_DAYS) if dt.date.fromordinal(_FIRST + i).day > 12]
+
+
 def date(text: str, key: bytes, back: bool = False) -> str | None:
-    """Days from 1900 to 2099 as year-month-day, day.month.year or month/day/year, permuted among all days."""
+    """Days from 1900 to 2099 as year-month-day, day.month.year or month/day/year, permuted among all days; what is no
+    month/day/year is read as day/month/year and permuted among the days from the 13th on."""
     a, b, c = re.findall(r"\d+", text)
-    order = (a, b, c) if len(a) == 4 else (c, b, a) if "." in text else (c, a, b)
+    late = "/" in text and int(a) > 12
+    order = (a, b, c) if len(a) == 4 else (c, b, a) if "." in text or late else (c, a, b)
     try:
         day = dt.date(*map(int, order)).toordinal() - _FIRST
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
-    new = dt.date.fromordinal(_FIRST + permute(day, _DAYS, b"date", key, back))
+    if late:
+        day = _LATE[permute(bisect.bisect_left(_LATE, day), len(_LATE), b"late date", key, back)]
+    else:
+        day = permute(day, _DAYS, b"date", key, back)
+    new = dt.date.fromordinal(_FIRST + day)
     y, m, d = f"{new.year:04}", f"{new.month:02}", f"{new.day:02}"
-    return refill(text, y + m + d if len(a) == 4 else d + m + y if "." in text else m + d + y)
+    return refill(text, y + m + d if len(a) == 4 else d + m + y if "." in text or late else m + d + y)
 
 
 def mail(text: str, key: bytes, back: bool = False) -> str | None:
@@ -162,19 +172,27 @@ def mail(text: str, key: bytes, back: bool = False) -> str | None:
     return classes(name, b"mail", key, back) + "@" + domain
 
 
+_HEX = re.compile("[0-9A-Fa-f]+")
+
+
 def secret(text: str, key: bytes, back: bool = False) -> str | None:
     """Long mixed tokens: each letter and digit within its class; a fixed prefix of cloud keys stays."""
     head = text[:4] if text.startswith("AKIA") else ""
     body = text[len(head) :]
     if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
         return None
-    return head + classes(body, b"hex" if re.fullmatch("[0-9a-f]+", body) else b"secret", key, back)
+    is_hex = _HEX.fullmatch(body) is not None
+    while True:  # what is not hexadecimal stays so, or it could not be undone
+        body = classes(body, b"hex" if is_hex else b"secret", key, back)
+        if is_hex or not _HEX.fullmatch(body):
+            return head + body
 
 
 KINDS: dict[str, tuple[str, Callable[..., str | None]]] = {
     "mail": (r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", mail),
+    # before iban: no account number has 32 hexadecimal characters
+    "secret": (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,}|(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])", secret),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    "secret": (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,}|(?<![A-Za-z0-9])(?=[a-z]*\d)[0-9a-f]{32,64}(?![A-Za-z0-9])", secret),
     "address": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", address),
     "date": (r"(?<![\d\-/.])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d\-/]|\.\d)", date),
     "social": (r"(?<![\d\-])\d{3}-\d\d-\d{4}(?![\d\-])", social),

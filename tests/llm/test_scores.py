@@ -191,3 +191,22 @@ def test_words_of_all_scripts_are_scored(base):
         bad = [r.score >= 0.7 for r in got if r.lang == lang and truth[r.doc_id]]
         fine = [r.score >= 0.7 for r in got if r.lang == lang and not truth[r.doc_id]]
         assert len(bad) > 5 and np.mean(bad) >= 0.9 and np.mean(fine) <= 0.1, lang
+
+
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(017) 555-7713", "(212) 155-0199", "+1 (000) 000-0000", "25/12/2020", "13/01/1999", "29/02/2024", "9233A8EC" * 4, "DE12A8EC" * 4, "9233a8EC" * 5, "password=1234567g", "password=1234567G"])
+def test_low_numbers_day_first_dates_and_upper_case_secrets(value):
+    made = lambda back: lambda kv: pii.KINDS[kv[0]][1](kv[1], b"k", back)
+    text = f'The "{value}", again {value}.'
+    new, spans = pii.replace(text, made(False))
+    assert len(spans) == 2 and value not in new and pii.replace(new, made(True))[0] == text
+    form = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "9", s)))
+    assert form(new) == form(text)
+
+
+def test_classes_of_dates_and_numbers_go_back():
+    for day in (f"{d:02}/{m:02}/{y}" for d in range(1, 32) for m in (1, 2, 11, 12) for y in (1900, 2024)):
+        new = pii.date(day, b"k")
+        assert new is None or pii.date(new, b"k", True) == day
+    assert pii.date("31/02/2020", b"k") is None and pii.date("13/13/2020", b"k") is None
+    for number in (f"+1 ({a:03}) {e:03}-{7713}" for a in (0, 17, 199, 200, 999) for e in (0, 199, 200, 999)):
+        assert pii.phone(pii.phone(number, b"k"), b"k", True) == number
