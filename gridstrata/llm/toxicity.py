@@ -38,11 +38,16 @@ _LOOKS_COST, _DROP_COST, _EDGE_COST, _OTHER_COST = 1.0, 0.5, 8.0, 4.0
 _CELLS = 27**3
 _SIGNS = "".join(LOOKS)
 _L = r"[^\W\d_]"  # a letter of any script
-#: Inside a word: a sign between, before or after letters; the same letter thrice; letters set apart by one sign or blank each.
-_MIXED = re.compile(rf"(?<!\S)[^\w\s]{{0,2}}?((?=\S*{_L})(?:{_L}|[{re.escape(_SIGNS)}]|(?<={_L})[-._](?={_L})){{3,40}})[.,;:!?]*(?!\S)")
-_APART = re.compile(rf"(?<![\w])(?:(?:{_L}|[0-9@$!|*])(?:[ ._\-]|[ ]?[._\-][ ]?)){{2,}}(?:{_L}|[0-9@$!|*])(?![\w])")
-_DRAWN = re.compile(rf"({_L})\1\1")
+_ANY = re.escape(_SIGNS)
+#: Letters set apart, one at a time, by runs of blanks and of characters that stand for no letter.
+_APART = re.compile(rf"(?<![^\W_])(?:(?:{_L}|[{_ANY}])(?:[^\w{_ANY}]|_)+){{2,}}(?:{_L}|[{_ANY}])(?![^\W_])")
+_BETWEEN = re.compile(rf"(?:[^\w{_ANY}]|_)+")
+#: Inside a word: a sign before or after a letter, separators between letters or signs, the same letter thrice.
+_SPOT = re.compile(rf"[{_ANY}](?={_L})|(?<={_L})(?:[0-9@$|+(<*#%]|[!?]+(?=[{_ANY}]|{_L})|[-._]+(?=[{_ANY}]|{_L}))|(?i:({_L})\1\1)")
+_DRAWN = re.compile(rf"({_L})\1\1", re.I)
+_JOINTS = re.compile("[-._]+")
 _TAIL = re.compile(r"(.)\1*$")
+_LONG = re.compile(r"(.)\1{3,}", re.S)  # three copies of a drawn-out letter decode as any larger number of them
 
 
 @lru_cache(maxsize=1)
@@ -142,7 +147,7 @@ def decode(seen: str, model: np.ndarray) -> str:
     """The letters most likely meant by an observed string."""
     letter = _tables()[1]
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # the word as links from its last letter back
-    for options, drop in lattice(folded(seen)):
+    for options, drop in lattice(_LONG.sub(r"\1\1\1", folded(seen))):
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, word) in states.items():
             if drop is not None:
@@ -164,23 +169,59 @@ def decode(seen: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-def disguised(text: str) -> Iterator[tuple[int, int]]:
-    """Places of strings that may be disguised words."""
-    for m in _APART.finditer(text):
-        if sum(map(str.isalpha, set(m.group().lower()))) > 1:
-            yield m.span()
-    for m in _MIXED.finditer(text):
-        own = m.group(1)
-        body = own.rstrip("!?") if own[-1:] in "!?" else own
-        tail = _TAIL.search(body)
-        if tail and len(tail.group()) > 1 and not tail.group()[0].isalnum():
-            body = body[: tail.start()]
-        if len(body) > 2 and (not body.isalpha() or _DRAWN.search(body)) and re.search(_L, body) and sum(c.isalpha() for c in body) * 3 >= len(body):
-            yield m.start(1), m.start(1) + len(body)
+def _piece(text: str, at: int) -> tuple[int, int]:
+    """The run of letters, signs and separators around a place, without separators at its ends."""
+    gap, _ = _tables()
+    inside = lambda c: c in LOOKS or c in "-._" or not gap[ord(c)]
+    lo = hi = at
+    while lo and inside(text[lo - 1]):
+        lo -= 1
+    while hi < len(text) and inside(text[hi]):
+        hi += 1
+    while lo < hi and text[lo] in "-._":
+        lo += 1
+    while lo < hi and text[hi - 1] in "-._":
+        hi -= 1
+    return lo, hi
+
+
+def _bodies(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """The readings of a piece that are disguised: with the signs at its ends as letters, and without them."""
+    while lo < hi and text[hi - 1] in "!?":
+        hi -= 1
+    tail = _TAIL.search(text[lo:hi])
+    if tail and len(tail.group()) > 1 and not tail.group()[0].isalnum():
+        hi = lo + tail.start()
+    closed = text[lo : lo + 1] in ("(", "<") and text[hi : hi + 1] in (")", ">")
+    own = text[lo:hi]
+    bare = own.strip("@$!|+(<*#%?")
+    at = lo + own.find(bare) if bare else lo
+    for a, b in {(at, at + len(bare)), (at, at + len(bare)) if closed else (lo, hi)}:
+        body = text[a:b]
+        if len(body) > 2 and (not body.isalpha() or _DRAWN.search(body)) and re.search(_L, body):
+            yield a, b
 
 
-#: Any character that a disguise needs beside letters, or a letter thrice.
-_HINT = re.compile(rf"[0-9@$|*#%+!(<?]\S?{_L}|{_L}[0-9@$|*#%+(<]|{_L}[._\-]{_L}|(?<![^\W_]){_L} (?:{_L}|[0-9@$!|*]) (?:{_L}|[0-9@$!|*])(?![^\W_])|({_L})\1\1")
+def disguised(text: str) -> Iterator[tuple[int, int]]:
+    """Places of strings that may be disguised words; what separators join is read in one and part by part."""
+    for m in _APART.finditer(text):
+        joints = list(_BETWEEN.finditer(text, *m.span()))
+        least = min(j.end() - j.start() for j in joints)
+        wide = [j.span() for j in joints if j.end() - j.start() > least]  # words set apart by more than their letters
+        ends = [m.start(), *(x for j in wide for x in j), m.end()]
+        for lo, hi in {m.span(), *zip(ends[::2], ends[1::2])}:
+            if hi - lo > 4 and sum(map(str.isalpha, set(text[lo:hi].lower()))) > 1:
+                yield lo, hi
+    at = 0
+    while m := _SPOT.search(text, at):
+        lo, hi = _piece(text, m.start())
+        at = max(hi, m.end())
+        yield from _bodies(text, lo, hi)
+        joints = [j.span() for j in _JOINTS.finditer(text, lo, hi)]
+        if joints:
+            ends = [lo, *(x for j in joints for x in j), hi]
+            for a, b in zip(ends[::2], ends[1::2]):
+                yield from _bodies(text, a, b)
 
 
 @lru_cache(maxsize=1)
@@ -191,8 +232,6 @@ def _decoder(key: bytes) -> Memo:
 
 def restore(text: str, decoder) -> list[tuple[int, int, str]]:
     """Disguised strings of a text: start, end and the word restored."""
-    if not _HINT.search(text):
-        return []
     return [(a, b, decoder[text[a:b]]) for a, b in sorted(set(disguised(text)))]
 
 

@@ -210,3 +210,17 @@ def test_classes_of_dates_and_numbers_go_back():
     assert pii.date("31/02/2020", b"k") is None and pii.date("13/13/2020", b"k") is None
     for number in (f"+1 ({a:03}) {e:03}-{7713}" for a in (0, 17, 199, 200, 999) for e in (0, 199, 200, 999)):
         assert pii.phone(pii.phone(number, b"k"), b"k", True) == number
+
+
+def test_gates_let_every_disguise_through(base, medium):
+    model = toxicity.language_model(table(base, medium, "documents"))
+    decoder = Memo(lambda s: toxicity.decode(s, model))
+    for seen, word in {
+        "st" + 45 * "u" + "pid": "stupid", "Iii" + 40 * "i" + "diot": "idiot", '"1d10t"': "idiot", "(1d10t)": "idiot", "1d10t's": "idiot", "«1d10t»": "idiot", "1d10t…": "idiot", "“1d10t”": "idiot", "1d10t—yes": "idiot",
+        "[m0r0n],": "moron", "'st*pid'": "stupid", "i . d . i . o . t": "idiot", "s - t - u - p - i - d": "stupid", "s  t  u  p  i  d": "stupid", "s/t/u/p/i/d": "stupid", "s--t--u--p--i--d": "stupid", "i...d...i...o...t": "idiot", "st--u--pid": "stupid",
+    }.items():
+        assert word in [w for *_, w in toxicity.restore(f"this is {seen} they say", decoder)], seen
+    found = [w for *_, w in toxicity.restore("1d10t/m0r0n and st*pid-l0ser and s t u p i d   m o r o n", decoder)]
+    assert {"idiot", "moron", "stupid", "loser"} <= set(found)
+    assert toxicity.restore("plain words, of these! 12 of 1999 (all) “quoted” and (some) it's—so", decoder) == []
+    assert toxicity.decode("st" + 100_000 * "u" + "pid", model) == "stupid" == toxicity.decode("stuuupid", model)
