@@ -14,8 +14,12 @@ from gridstrata.session import scratch_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier does not reject; all of them if the labels fit no network."""
+    labels = table(spark, sf_dir, "labels")
+    fitted = quality.fit(docs, labels)
+    if isinstance(fitted[1], float):
+        return docs
+    scored = quality.score(docs, labels, fitted=fitted)
     return scored.where(F.col("score") >= quality.CUT).select("row.*")
 
 

@@ -158,13 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     return vectors, labelled.Net(x, y)
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", fitted=None) -> DataFrame:
     """Rows (row, score): ``row`` is a struct of the columns of ``docs``, score the chance of label 1 from the text alone.
 
     Null and empty texts get the score of a document without words. Repeated rows are scored alike. Without usable
-    labels the score is one half, with a single class its smoothed share. An empty table gives no rows.
+    labels the score is one half, with a single class its smoothed share. An empty table gives no rows. ``fitted`` is what
+    ``fit`` gave, if it is at hand.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
+    model = docs.sparkSession.sparkContext.broadcast(fitted or fit(docs, labels, label))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_scores(model, ["row"]), f"row {kind}, score double")

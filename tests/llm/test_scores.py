@@ -224,3 +224,11 @@ def test_gates_let_every_disguise_through(base, medium):
     assert {"idiot", "moron", "stupid", "loser"} <= set(found)
     assert toxicity.restore("plain words, of these! 12 of 1999 (all) “quoted” and (some) it's—so", decoder) == []
     assert toxicity.decode("st" + 100_000 * "u" + "pid", model) == "stupid" == toxicity.decode("stuuupid", model)
+
+
+def test_nothing_is_rejected_without_a_network(base, make, hard, tmp_path):
+    schema = "doc_id long, quality int, toxic int"
+    for k, labels in enumerate(([], [(10**9, 0, 0)], [(4, 0, 0), (5, 0, 0)])):
+        base.createDataFrame(labels, schema).write.parquet(str(tmp_path / str(k) / "labels.parquet"))
+        kept = corpus_pipeline.keep_good(base, make(hard), str(tmp_path / str(k)))
+        assert kept.columns == make(hard).columns and kept.count() == len(hard)
