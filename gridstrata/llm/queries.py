@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstrata.llm import forest, labelled, lexicon, packing, pii, quality, simhash, substrings, tiles, tokencount, toxicity
+from gridstrata.llm import codes, extraction, forest, labelled, lexicon, packing, pii, quality, simhash, substrings, tiles, tokencount, toxicity, vafile
 from gridstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,69 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, table(spark, sf_dir, "labels")).select(F.col("row.doc_id").alias("doc_id"), "score")
     predicted = (F.col("score") >= toxicity.CUT).cast("int").alias("predicted")
     return scored.select("doc_id", labelled.held_out(toxicity.FOLDS, toxicity.LEFT).alias("held_out"), "score", predicted)
+
+
+@query
+def op11_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.report(*vafile.clusters(table(spark, sf_dir, "embeddings")))
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARED = "CAST(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+_FLOORED = "(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*)"
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    ctes = [
+        f"kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE})",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 16)"]
+    for r in range(rounds + 1):
+        away = _SQUARED.format("k.v", f"c{r}.v")
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (SELECT k.vec_id, k.v, c, {away} AS d FROM kept k, c{r}) "
+            "QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if r < rounds:
+            ctes.append(
+                f"m{r} AS (SELECT c, list(x ORDER BY pos) AS v FROM (SELECT c, pos, CAST({_FLOORED} AS BIGINT) AS x FROM "
+                f"(SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY c, pos) GROUP BY c)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)")
+    return (
+        f"WITH {', '.join(ctes)} SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} f ON a.c = f.c")
+
+
+ORACLES["op11_va_clusters"] = _cluster_sql()
+
+
+@query
+def op12_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(*codes.quantise(table(spark, sf_dir, "embeddings")))
+
+
+def _code_sql(rounds: int = 2) -> str:
+    ctes = [
+        f"kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE})",
+        "parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM kept, range(16) AS r(p))",
+        "b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts QUALIFY e < 64)"]
+    for r in range(rounds + 1):
+        away = _SQUARED.format("t.v", "b.v")
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, p, v, e, d FROM (SELECT t.vec_id, t.p, t.v, b.e, {away} AS d FROM parts t JOIN b{r} b ON t.p = b.p) "
+            "QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)")
+        if r < rounds:
+            ctes.append(
+                f"m{r} AS (SELECT p, e, list(x ORDER BY pos) AS v FROM (SELECT p, e, pos, CAST({_FLOORED} AS BIGINT) AS x FROM "
+                f"(SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY p, e, pos) GROUP BY p, e)")
+            ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON b.p = m.p AND b.e = m.e)")
+    return (
+        f"WITH {', '.join(ctes)}, per AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id), "
+        f"books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}) "
+        "SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept k JOIN per ON k.vec_id = per.vec_id, books")
+
+
+ORACLES["op12_hilbert_codes"] = _code_sql()
+
+
+@query
+def op13_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
