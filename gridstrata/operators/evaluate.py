@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Sequence
 from math import exp
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.functions.arrays import let
-from gridstrata.operators.blocks import DAY, over_blocks, running
+from gridstrata.operators.blocks import DAY, over_blocks
 from gridstrata.operators.joins import range_join
+from gridstrata.operators.matching import greedy
 from gridstrata.operators.ranks import attach, exact_quantiles, value_ranks
 from gridstrata.operators.splits import HASH_PRIME, id_hash
 from gridstrata.session import checkpoint
@@ -65,55 +64,25 @@ def iou_pairs(true: DataFrame, pred: DataFrame, keys: Sequence[str], width: int
     return pairs.withColumns({"inter": inter, "uni": union}).where(F.col("inter") > 0)
 
 
-def _components(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Intervals with the number of their connected stretch of time; stretches end where no interval is open."""
-    on = df.select(*keys, F.col("start").alias("ts"), F.lit(1).alias("d"))
-    off = df.select(*keys, F.col("stop").alias("ts"), F.lit(-1).alias("d"))
-    steps = on.unionByName(off).groupBy(*keys, "ts").agg(F.sum("d").alias("d"))
-    opened = running(steps, keys, "ts", {"n": F.col("d")}, width=360 * DAY)
-    parts = running(opened, keys, "ts", {"part": (F.col("n") == 0).cast("int")}, width=360 * DAY)
-    return df.join(parts.select(*keys, F.col("ts").alias("start"), "part"), [*keys, "start"])
-
-
 def interval_score(true: DataFrame, pred: DataFrame, key: str, scale: float = 1.0) -> DataFrame:
     """Greedy match of truths (in order of start) to the free prediction of best IoU, then the weighted score per name.
 
     (ΣI/ΣU + 2 · mean exp(−|start gap| / τ) + 3 · F0.5) / 6 with τ 10, or 5 for late starts, in units of ``scale``
-    seconds. Matches stay inside stretches of overlapping intervals, so a few stretches at a time are matched on their own.
+    seconds. Empty intervals match nothing but count among truths and predictions.
     """
-    cols = [key, "start", "stop", "id"]
-    both = true.select(*cols, F.lit(1).alias("is_true")).unionByName(pred.select(*cols, F.lit(0).alias("is_true")))
-    parts = _components(both.where(F.col("start") < F.col("stop")), [key])
-    seconds = parts.select(key, "part", "is_true", "id", F.unix_timestamp("start").alias("a"), F.unix_timestamp("stop").alias("z"))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf[pdf["is_true"] == 1].sort_values(["a", "z", "id"])
-        p = pdf[pdf["is_true"] == 0].sort_values(["a", "z", "id"])
-        starts, stops = p["a"].tolist(), p["z"].tolist()
-        longest = max((z - a for a, z in zip(starts, stops)), default=0)
-        free = [True] * len(starts)
-        n, inter_sum, union_sum, near_sum = 0, 0, 0, 0.0
-        for ta, tz in zip(t["a"].tolist(), t["z"].tolist()):
-            best, pick = (0.0, 0, 1), -1
-            for i in range(bisect_left(starts, ta - longest), bisect_left(starts, tz)):
-                inter = min(stops[i], tz) - max(starts[i], ta)
-                if free[i] and inter > 0:
-                    union = (tz - ta) + (stops[i] - starts[i]) - inter
-                    if inter / union > best[0]:
-                        best, pick = (inter / union, inter, union), i
-            if pick < 0:
-                continue
-            free[pick] = False
-            tau = 5.0 if starts[pick] > ta else 10.0
-            n, inter_sum, union_sum = n + 1, inter_sum + best[1], union_sum + best[2]
-            near_sum += exp(-abs(starts[pick] - ta) / scale / tau)
-        first = pdf.iloc[0]
-        return pd.DataFrame({key: [first[key]], "n": [n], "i": [float(inter_sum)], "u": [float(union_sum)], "e": [near_sum]})
-
-    kind = true.schema[key].dataType.simpleString()
-    # Stretches do not touch each other, so a run of them can be matched in one call.
-    seconds = seconds.withColumn("part", F.floor(F.col("part") / 256))
-    matched = seconds.groupBy(key, "part").applyInPandas(match, f"{key} {kind}, n bigint, i double, u double, e double")
+    real = F.col("start") < F.col("stop")
+    pairs = iou_pairs(true.where(real), pred.where(real), [key])
+    seconds = {c: F.unix_timestamp(c) for c in ("t_start", "t_stop", "p_start", "p_stop")}
+    pairs = pairs.select(
+        key, "t_id", "p_id", "inter", "uni", F.struct(seconds["t_start"].alias("a"), seconds["t_stop"].alias("z"), F.col("t_id").alias("i")).alias("t_order"),
+        F.struct(seconds["p_start"].alias("a"), seconds["p_stop"].alias("z"), F.col("p_id").alias("i")).alias("p_order"),
+        seconds["t_start"].alias("place"), (F.col("inter") / F.col("uni")).alias("gain"))
+    pairs = checkpoint(pairs)
+    matched = greedy(pairs, [key], "place").join(pairs, [key, "t_id", "p_id"])
+    gap = F.col("p_order.a") - F.col("place")
+    tau = F.when(gap > 0, 5.0).otherwise(10.0)
+    matched = matched.select(key, F.lit(1).alias("n"), F.col("inter").alias("i"), F.col("uni").alias("u"), F.exp(-F.abs(gap) / F.lit(float(scale)) / tau).alias("e"))
+    both = true.select(key, F.lit(1).alias("is_true")).unionByName(pred.select(key, F.lit(0).alias("is_true")))
     sums = matched.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "i", "u", "e")])
     sizes = both.groupBy(key).agg(F.count_if(F.col("is_true") == 1).alias("n_true"), F.count_if(F.col("is_true") == 0).alias("n_pred"))
     out = sizes.join(sums, key, "left").na.fill(0)
@@ -129,6 +98,12 @@ def interval_score(true: DataFrame, pred: DataFrame, key: str, scale: float = 1.
     )
 
 
+def mean_interval_score(scores: DataFrame) -> DataFrame:
+    """Plain means over the names of all parts of ``interval_score``, and how many names there are."""
+    parts = ("iou", "near", "recall", "precision", "f_half", "score")
+    return scores.agg(F.count(F.lit(1)).alias("n_names"), *[F.avg(c).alias(c) for c in parts])
+
+
 def party_cost_score(df: DataFrame, keys: Sequence[str], true: str, pred: str, optimum: float = 6.0, beta: float = 1 / 16) -> DataFrame:
     gap = F.col(pred) - F.col(true)
     error = F.sqrt(F.avg(gap * gap)) + beta * F.abs(F.sum(pred) - optimum)

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.functions import geo
-from gridstrata.operators.blocks import block_no
 from gridstrata.session import checkpoint
 
 
@@ -21,31 +20,52 @@ def around(cell: Column) -> Column:
     return F.explode(F.sequence(cell - 1, cell + 1))
 
 
+def _length_class(start: Column, stop: Column, width: int) -> Column:
+    """0 for intervals up to ``width`` seconds, then one more for each doubling."""
+    long = F.greatest(F.unix_timestamp(stop) - F.unix_timestamp(start), F.lit(0)) / F.lit(float(width))
+    return F.when(long <= 1, 0).otherwise(F.ceil(F.log2(long)).cast("int"))
+
+
+def _bin(seconds: Column, level: Column, width: int) -> Column:
+    return F.floor(seconds / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("bigint")
+
+
 def range_join(
     intervals: DataFrame, points: DataFrame, keys: Sequence[str], start: str, stop: str, ts: str, width: int, how: str = "inner"
 ) -> DataFrame:
     """Points inside ``[start, stop]`` of the intervals with the same keys.
 
-    Both sides carry the time bucket; an interval is copied to the buckets it covers, a point has one, so each pair is
-    found once and a hot key is spread over its buckets. ``left`` keeps intervals without points.
+    Bins of time come in levels, each twice as long as the one before it, from ``width`` seconds. An interval lies on the
+    first level whose bins are no shorter than itself, so in one bin or two however long it is; a point looks in its bin
+    of every level that has intervals. Each pair is found once, and a hot key is spread over its bins. Intervals or
+    points with a null end, stamp or key meet nothing. ``left`` keeps intervals without points.
     """
-    first, last = block_no(start, width), block_no(stop, width)
-    left = intervals.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
-    right = points.withColumn("_bucket", block_no(ts, width))
-    joined = left.join(right, [*keys, "_bucket"]).where(F.col(ts).between(F.col(start), F.col(stop))).drop("_bucket")
+    first, last = F.col(start), F.col(stop)
+    level = _length_class(first, last, width)
+    left = intervals if how == "inner" else intervals.withColumns(row_mark(intervals.columns))
+    left = left.where(last >= first).withColumn("_level", level)
+    ends = [_bin(F.unix_timestamp(c), F.col("_level"), width) for c in (first, last)]
+    left = left.withColumn("_bin", F.explode(F.sequence(*ends)))
+    used = intervals.where(last >= first).agg(F.collect_set(level).alias("levels")).select("levels").scalar()
+    right = points.withColumn("_level", F.explode(used))
+    right = right.withColumn("_bin", _bin(F.unix_timestamp(ts), F.col("_level"), width))
+    joined = left.join(right, [*keys, "_level", "_bin"]).where(F.col(ts).between(first, last)).drop("_level", "_bin")
     if how == "inner":
         return joined
-    return joined.unionByName(_unmatched(intervals, joined), allowMissingColumns=True)
+    alone = unmatched(intervals, joined)
+    return joined.drop("_m1", "_m2").unionByName(alone, allowMissingColumns=True)
+
+
+def row_mark(columns: Sequence[str]) -> dict[str, Column]:
+    """A 128-bit hash of a row's values, nulls told from values; rows with equal values have equal marks."""
+    parts = [p for c in columns for p in (F.col(c), F.col(c).isNull())]
+    return {"_m1": F.xxhash64(*parts), "_m2": F.xxhash64(F.lit(1), *parts)}
 
 
-def _unmatched(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows that are not in the join result, compared on all their columns, nulls alike."""
-    seen = joined.select(*[F.col(c).alias(f"_s_{c}") for c in rows.columns]).distinct()
-    same = None
-    for c in rows.columns:
-        one = F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-        same = one if same is None else same & one
-    return rows.join(seen, same, "left_anti")
+def unmatched(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows whose mark is not in the join result ``joined``, which carries the marks."""
+    seen = joined.select("_m1", "_m2").distinct()
+    return rows.withColumns(row_mark(rows.columns)).join(seen, ["_m1", "_m2"], "left_anti").select(*rows.columns)
 
 
 def storm_causes(
@@ -56,10 +76,8 @@ def storm_causes(
     Storms without such an outage stay, with flag 0.
     """
     reach = storms.withColumn("_stop", F.timestamp_add("DAY", F.lit(days_after), F.col(end)))
-    found = range_join(reach, outages, [county], begin, "_stop", start, width=86400).drop("_stop")
-    found = found.withColumn("caused", F.lit(1))
-    alone = _unmatched(storms, found).withColumn("caused", F.lit(0))
-    return found.unionByName(alone, allowMissingColumns=True)
+    found = range_join(reach, outages, [county], begin, "_stop", start, width=86400, how="left").drop("_stop")
+    return found.withColumn("caused", F.col(start).isNotNull().cast("int"))
 
 
 def hours_inside(df: DataFrame, begin: str, end: str, name: str = "hour") -> DataFrame:
