@@ -22,12 +22,12 @@ def around(cell: Column) -> Column:
 
 def _length_class(start: Column, stop: Column, width: int) -> Column:
     """0 for intervals up to ``width`` seconds, then one more for each doubling."""
-    long = F.greatest(F.unix_timestamp(stop) - F.unix_timestamp(start), F.lit(0)) / F.lit(float(width))
-    return F.when(long <= 1, 0).otherwise(F.ceil(F.log2(long)).cast("int"))
+    long = (F.unix_timestamp(stop) - F.unix_timestamp(start)) / F.lit(float(width))
+    return F.when(long > 1, F.ceil(F.log2(long)).cast("int")).otherwise(0)
 
 
-def _bin(seconds: Column, level: Column, width: int) -> Column:
-    return F.floor(seconds / (F.lit(float(width)) * F.pow(F.lit(2.0), level))).cast("bigint")
+def _bin(stamp: Column, level: Column, width: int) -> Column:
+    return F.floor(F.unix_timestamp(stamp) / (F.lit(width) * F.pow(F.lit(2.0), level)))
 
 
 def range_join(
@@ -38,34 +38,29 @@ def range_join(
     Bins of time come in levels, each twice as long as the one before it, from ``width`` seconds. An interval lies on the
     first level whose bins are no shorter than itself, so in one bin or two however long it is; a point looks in its bin
     of every level that has intervals. Each pair is found once, and a hot key is spread over its bins. Intervals or
-    points with a null end, stamp or key meet nothing. ``left`` keeps intervals without points.
+    points with a null end, stamp or key meet nothing. ``left`` keeps intervals without points: those that meet none in
+    their first bin and none in their last.
     """
     first, last = F.col(start), F.col(stop)
     level = _length_class(first, last, width)
-    left = intervals if how == "inner" else intervals.withColumns(row_mark(intervals.columns))
-    left = left.where(last >= first).withColumn("_level", level)
-    ends = [_bin(F.unix_timestamp(c), F.col("_level"), width) for c in (first, last)]
-    left = left.withColumn("_bin", F.explode(F.sequence(*ends)))
-    used = intervals.where(last >= first).agg(F.collect_set(level).alias("levels")).select("levels").scalar()
-    right = points.withColumn("_level", F.explode(used))
-    right = right.withColumn("_bin", _bin(F.unix_timestamp(ts), F.col("_level"), width))
+    used = intervals.where(last >= first).agg(F.bit_or(F.pow(F.lit(2.0), level).cast("bigint")).alias("levels"))
+    levels = used.select(F.filter(F.sequence(F.lit(0), F.lit(40)), lambda i: F.getbit("levels", i) == 1).alias("levels")).scalar()
+    placed = intervals.withColumn("_level", level)
+    placed = placed.withColumns({"_first": _bin(first, F.col("_level"), width), "_last": _bin(last, F.col("_level"), width)})
+    right = points.withColumn("_level", F.explode(levels))
+    right = right.withColumn("_bin", _bin(F.col(ts), F.col("_level"), width))
+    left = placed.where(last >= first).withColumn("_bin", F.explode(F.array_distinct(F.array("_first", "_last")))).drop("_first", "_last")
     joined = left.join(right, [*keys, "_level", "_bin"]).where(F.col(ts).between(first, last)).drop("_level", "_bin")
     if how == "inner":
         return joined
-    alone = unmatched(intervals, joined)
-    return joined.drop("_m1", "_m2").unionByName(alone, allowMissingColumns=True)
-
-
-def row_mark(columns: Sequence[str]) -> dict[str, Column]:
-    """A 128-bit hash of a row's values, nulls told from values; rows with equal values have equal marks."""
-    parts = [p for c in columns for p in (F.col(c), F.col(c).isNull())]
-    return {"_m1": F.xxhash64(*parts), "_m2": F.xxhash64(F.lit(1), *parts)}
-
-
-def unmatched(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows whose mark is not in the join result ``joined``, which carries the marks."""
-    seen = joined.select("_m1", "_m2").distinct()
-    return rows.withColumns(row_mark(rows.columns)).join(seen, ["_m1", "_m2"], "left_anti").select(*rows.columns)
+    sought = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_level").alias("_at"), "_bin", F.col(ts).alias("_ts"))
+    alone = placed
+    for end in ("_first", "_last"):
+        same = (F.col("_at") == F.col("_level")) & (F.col("_bin") == F.col(end)) & F.col("_ts").between(first, last)
+        for k in keys:
+            same &= F.col(k) == F.col(f"_k_{k}")
+        alone = alone.join(sought, same, "left_anti")
+    return joined.unionByName(alone.select(*intervals.columns), allowMissingColumns=True)
 
 
 def storm_causes(
