@@ -160,58 +160,79 @@ def curve_polyfit_inflexions(spark, sf):
     return out.withColumns({f"coef_{k}": F.col(f"coef_{k}") + 0.0 for k in range(1, 7)})
 
 
-@query("peak_detect")
+# Peaks in SQL: flat stretches, local maxima, rounds of local winners (six hours apart), next higher hours and least values.
+PEAKS = {
+    "pos": "MATERIALIZED SELECT bldg_id, CAST(epoch(ts) // 3600 AS BIGINT) AS pos, ts, energy AS x FROM grid",
+    "runs": "SELECT * FROM (SELECT *, lag(x) OVER w AS b FROM pos WINDOW w AS (PARTITION BY bldg_id ORDER BY pos)) WHERE b IS NULL OR b <> x",
+    "nexts": "SELECT *, lead(pos) OVER w AS np, lead(x) OVER w AS nx FROM runs WINDOW w AS (PARTITION BY bldg_id ORDER BY pos)",
+    "maxima": "MATERIALIZED SELECT bldg_id, (pos + np - 1) // 2 AS pos, x FROM nexts WHERE x > b AND x > nx",
+    "rounds": """SELECT bldg_id, pos, x, 0 AS s FROM maxima UNION ALL
+        SELECT bldg_id, pos, x, CASE WHEN won THEN 1 ELSE 0 END FROM (
+          SELECT *, max(CASE WHEN won THEN 1 ELSE 0 END) OVER near AS beaten FROM (
+            SELECT bldg_id, pos, x, max({'x': x, 'p': pos}) OVER near = {'x': x, 'p': pos} AS won FROM rounds WHERE s = 0
+            WINDOW near AS (PARTITION BY bldg_id ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING))
+          WINDOW near AS (PARTITION BY bldg_id ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE won OR beaten = 0""",
+    "kept": "MATERIALIZED SELECT bldg_id, pos, x FROM rounds WHERE s = 1",
+    "higher": """MATERIALIZED SELECT k.bldg_id, k.pos, k.x, coalesce(max(p.pos) FILTER (p.pos < k.pos), -1) AS l, coalesce(min(p.pos) FILTER (p.pos > k.pos), 1152921504606846976) AS r
+        FROM kept k LEFT JOIN pos p ON p.bldg_id = k.bldg_id AND p.x > k.x GROUP BY ALL""",
+    "lows": """MATERIALIZED SELECT h.bldg_id, h.pos, h.x, min({'v': p.x, 'o': h.pos - p.pos}) FILTER (p.pos <= h.pos) AS a, min({'v': p.x, 'o': p.pos - h.pos}) FILTER (p.pos >= h.pos) AS z
+        FROM higher h JOIN pos p ON p.bldg_id = h.bldg_id AND p.pos > h.l AND p.pos < h.r GROUP BY ALL""",
+    "tops": """MATERIALIZED SELECT bldg_id, make_timestamp(pos * 3600000000) AS ts, x AS energy, x - greatest(a.v, z.v) AS prominence, a.o AS start_ago, z.o AS end_in
+        FROM lows WHERE x - greatest(a.v, z.v) >= 30""",
+}
+
+
+def peaks_sql(**more):
+    """The views of the grid, the envelope and the peaks, then further ones."""
+    text = with_("grid", **ENVELOP, **PEAKS, **more)
+    return text.replace("AS (MATERIALIZED ", "AS MATERIALIZED (").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("peak_detect", peaks_sql() + "SELECT bldg_id, ts, round(energy, 6) AS energy, round(prominence, 6) AS prominence, start_ago, end_in FROM tops")
 def peak_detect(spark, sf):
     return rounded(peaks.peak_detect(grid(spark, sf), "bldg_id", "ts", "energy"), KEY)
 
 
-def tops(spark, sf):
-    """Single-sample maxima of the grid with spans derived from the hour, as input that SQL can state too."""
-    near = lambda w: {"_p": F.lag("energy").over(w), "_n": F.lead("energy").over(w)}
-    rows = over_blocks(windows.centered_max_mean(grid(spark, sf), KEY, "ts", "energy", HOUR), KEY, "ts", near, before=HOUR, after=HOUR)
-    at = rows.where((F.col("energy") >= 40) & (F.col("energy") > F.col("_p")) & (F.col("energy") > F.col("_n")))
-    low = F.greatest("_p", "_n")
-    return at.select(
-        "bldg_id", "ts", "energy", "envelop", (F.col("energy") - low).alias("prominence"),
-        (F.hour("ts") % 11 + 1).alias("start_ago"), (F.hour("ts") % 5 + 1).alias("end_in"),
-    )
+CORRECTED = {
+    "v": "MATERIALIZED SELECT bldg_id, ts, energy, CASE WHEN energy < 10 AND e < 10 THEN 0.0 ELSE e END AS envelop FROM n",
+    "corrected": """MATERIALIZED SELECT t.bldg_id, t.ts, t.energy, envelop, prominence,
+         CAST(CASE WHEN t.energy < 10 OR coalesce(prominence / nullif(envelop, 0) < 0.2, false) OR (envelop < 100 AND coalesce(prominence / nullif(envelop, 0) < 0.5, false))
+         OR (envelop < 200 AND prominence / nullif(envelop, 0) < 0.45) OR (envelop < 400 AND prominence / nullif(envelop, 0) < 0.4)
+         OR (envelop < 600 AND prominence / nullif(envelop, 0) < 0.35) OR (envelop < 1000 AND prominence / nullif(envelop, 0) < 0.3) THEN 0 ELSE 1 END AS BIGINT) AS peak,
+         CASE WHEN t.energy < 10 THEN 0 ELSE start_ago END AS start_ago, CASE WHEN t.energy < 10 THEN 0 ELSE end_in END AS end_in
+         FROM tops t JOIN v ON v.bldg_id = t.bldg_id AND v.ts = t.ts""",
+}
 
 
-TOPS = {
-    "v": "SELECT bldg_id, ts, energy, CASE WHEN energy < 10 AND e < 10 THEN 0.0 ELSE e END AS envelop FROM n",
-    "w": f"SELECT *, lag(energy) OVER w AS p, lead(energy) OVER w AS nx FROM v {W}",
-    "tops": """SELECT bldg_id, ts, energy, envelop, energy - greatest(p, nx) AS prominence, hour(ts) % 11 + 1 AS start_ago, hour(ts) % 5 + 1 AS end_in
-               FROM w WHERE energy >= 40 AND energy > p AND energy > nx""",
-}
+def corrected(enveloped):
+    """Peaks of the enveloped grid with the envelope at their hour, corrected."""
+    found = peaks.peak_detect(enveloped, "bldg_id", "ts", "energy")
+    return peaks.peak_correct(found.join(enveloped.select(*KEY, "ts", "envelop"), [*KEY, "ts"]), "energy", "envelop", "prominence")
 
 
 @query(
     "peak_correct",
-    with_("grid", **ENVELOP, **TOPS)
-    + """SELECT bldg_id, ts, round(energy, 6) AS energy, round(prominence, 6) AS prominence, CAST(CASE WHEN energy < 60 OR prominence / envelop < 0.2 OR (envelop < 100 AND prominence / envelop < 0.5)
-         OR (envelop < 200 AND prominence / envelop < 0.45) OR (envelop < 400 AND prominence / envelop < 0.4) OR (envelop < 600 AND prominence / envelop < 0.35)
-         OR (envelop < 1000 AND prominence / envelop < 0.3) THEN 0 ELSE 1 END AS BIGINT) AS peak,
-         CASE WHEN energy < 60 THEN 0 ELSE start_ago END AS start_ago, CASE WHEN energy < 60 THEN 0 ELSE end_in END AS end_in FROM tops""",
+    peaks_sql(**CORRECTED) + "SELECT bldg_id, ts, round(energy, 6) AS energy, round(prominence, 6) AS prominence, peak, start_ago, end_in FROM corrected",
 )
 def peak_correct(spark, sf):
-    out = peaks.peak_correct(tops(spark, sf), "energy", "envelop", "prominence", floor=60.0)
-    return rounded(out.drop("envelop"), KEY)
+    out = corrected(windows.centered_max_mean(grid(spark, sf), KEY, "ts", "energy", HOUR))
+    return rounded(out.select(*KEY, "ts", "energy", "prominence", "peak", "start_ago", "end_in"), KEY)
 
 
 @query(
     "peak_gaussian_envelope",
-    with_(
-        "grid", **ENVELOP, **TOPS,
+    peaks_sql(
+        **CORRECTED,
         o="""SELECT bldg_id, ts, greatest(1, least(15, round_even(start_ago / 2, 0))) AS sl,
-             unnest(generate_series(-CAST(greatest(3, least(36, start_ago)) AS BIGINT), CAST(greatest(3, least(6, end_in)) AS BIGINT))) AS o FROM tops""",
-        r="""SELECT bldg_id, ts + to_hours(CAST(o AS INTEGER)) AS ts, max(exp(-(o * o) / (2 * pow(CASE WHEN o < 0 THEN sl ELSE 1 END, 2)))) AS c, bool_or(o < 0) AS l FROM o GROUP BY 1, 2""",
-        b="SELECT v.bldg_id, v.ts, v.energy, envelop * coalesce(c, 0) AS b, coalesce(l, false) AS l FROM v LEFT JOIN r ON r.bldg_id = v.bldg_id AND r.ts = v.ts",
+             unnest(generate_series(-CAST(greatest(3, least(36, start_ago)) AS BIGINT), CAST(greatest(3, least(6, end_in)) AS BIGINT))) AS o FROM corrected WHERE peak = 1""",
+        r="""MATERIALIZED SELECT bldg_id, ts + to_hours(CAST(o AS INTEGER)) AS ts, max(exp(-(o * o) / (2 * pow(CASE WHEN o < 0 THEN sl ELSE 1 END, 2)))) AS c, bool_or(o < 0) AS l FROM o GROUP BY 1, 2""",
+        bells="SELECT v.bldg_id, v.ts, v.energy, envelop * coalesce(c, 0) AS b, coalesce(l, false) AS l FROM v LEFT JOIN r ON r.bldg_id = v.bldg_id AND r.ts = v.ts",
     )
-    + "SELECT bldg_id, ts, round(CASE WHEN l AND b > 0 THEN greatest(b, energy) ELSE b END, 6) AS outbreak FROM b",
+    + "SELECT bldg_id, ts, round(CASE WHEN l AND b > 0 THEN greatest(b, energy) ELSE b END, 6) AS outbreak FROM bells",
 )
 def peak_gaussian_envelope(spark, sf):
     rows = windows.centered_max_mean(grid(spark, sf), KEY, "ts", "energy", HOUR)
-    out = peaks.gaussian_envelope(rows, tops(spark, sf), KEY, "ts", "energy", "envelop", HOUR)
+    out = peaks.gaussian_envelope(rows, corrected(rows).where("peak = 1"), KEY, "ts", "energy", "envelop", HOUR)
     return rounded(out.select("bldg_id", "ts", "outbreak"), KEY)
 
 

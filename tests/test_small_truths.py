@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstrata.functions import calendar as cal
-from gridstrata.operators import cluster, evaluate, graph, joins, splits
-from gridstrata.operators.peaks import find_peaks
+from gridstrata.operators import cluster, evaluate, graph, joins, peaks, splits
 
 
 def test_components(spark):
@@ -61,13 +60,53 @@ def test_nearest(spark, seed):
     assert got == {i: int(np.argmin(((s - q) ** 2).sum(1))) for i, q in enumerate(p)}
 
 
-def test_peaks():
+def plain_peaks(x, distance, prominence):
+    """Position, prominence and distances to the bases, by walking from every peak."""
+    change = np.flatnonzero(np.diff(x) != 0)
+    starts, stops = np.r_[0, change + 1], np.r_[change, len(x) - 1]
+    at = [(a + z) // 2 for a, z in zip(starts, stops) if a > 0 and z < len(x) - 1 and x[a] > x[a - 1] and x[z] > x[z + 1]]
+    kept = []
+    for p in sorted(at, key=lambda p: (x[p], p), reverse=True):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    out = []
+    for p in sorted(kept):
+        bases = []
+        for way in (-1, 1):
+            i, low, base = p, x[p], p
+            while 0 <= i < len(x) and x[i] <= x[p]:
+                if x[i] < low:
+                    low, base = x[i], i
+                i += way
+            bases.append((low, abs(base - p)))
+        high = x[p] - max(b[0] for b in bases)
+        if high >= prominence:
+            out.append((int(p), float(high), int(bases[0][1]), int(bases[1][1])))
+    return out
+
+
+def found_peaks(spark, series, distance, prominence):
+    rows = [(k, i * 3600, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k int, t long, v double").select("k", F.timestamp_seconds("t").alias("ts"), "v")
+    out = {k: [] for k in series}
+    for r in peaks.peak_detect(df, "k", "ts", "v", distance, prominence).collect():
+        out[r.k].append((int(r.ts.timestamp() // 3600), r.prominence, r.start_ago, r.end_in))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_peaks(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
     x = np.array([0, 50, 10, 90, 90, 20, 60, 5, 5, 40, 0], float)
-    out = find_peaks(x, distance=1, prominence=30)
-    assert out["pos"].tolist() == [1, 3, 6, 9]
-    assert out["prominence"].tolist() == [40.0, 90.0, 40.0, 35.0]
-    assert find_peaks(x, distance=4, prominence=30)["pos"].tolist() == [3, 9]
-    assert find_peaks(np.zeros(5), 1, 0).empty
+    assert plain_peaks(x, 1, 30) == [(1, 40.0, 1, 1), (3, 90.0, 3, 7), (6, 40.0, 1, 4), (9, 35.0, 1, 1)]
+    rng = np.random.default_rng(1)
+    long = rng.integers(0, 100, 40_000).astype(float)
+    long[9_000:31_000] = np.minimum(long[9_000:31_000], 3)  # the next higher sample is groups of blocks away
+    long[20_000] = 98.0
+    series = {
+        1: x, 2: np.zeros(5), 3: rng.integers(0, 6, 700), 4: np.repeat(rng.integers(0, 9, 90), rng.integers(1, 400, 90)), 5: long,
+        6: np.ravel(np.column_stack([np.zeros(40), np.arange(40, 0, -1)])), 7: np.array([5.0]), 8: rng.normal(size=900).cumsum()}  # 6: a staircase of peaks
+    for distance, prominence in ((1, 30), (4, 30), (6, 0.5)):
+        assert found_peaks(spark, series, distance, prominence) == {k: plain_peaks(np.asarray(v, float), distance, prominence) for k, v in series.items()}
 
 
 def spans(spark, rows):
