@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstrata.llm import vocab
-from gridstrata.llm.common import Memo, as_text, list_column
+from gridstrata.llm.common import Memo, as_text, checkpoint, list_column
 from gridstrata.session import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +32,8 @@ LEXICON = 100_000
 _DISTINCT = 150_000
 #: Documents whose words and ids a task holds at once.
 _SLICE = 700
+#: Pieces whose ids a task keeps in each of two generations, about 150 bytes each.
+_KEPT = 100_000
 #: The split of the byte vocabulary for text whose blanks are single blanks before words (fixed by the vocabulary file).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -136,34 +139,73 @@ def _merged(path: str) -> Memo:
     model = vocab.tokenizer(path).model
     forth = {b: c for c, b in vocab._byte_values().items()}
     table = {i: "".join(forth[b] for b in chr(i).encode()) for i in range(256)}
-    return Memo(lambda w: np.array([t.id for t in model.tokenize(w.translate(table))], "<u4").tobytes(), 100_000)
+    blank, tokenize = forth[32], model.tokenize
+
+    def merge(piece: str) -> bytes:
+        # in the byte alphabet a piece of printable characters differs from itself by its blank alone
+        letters = piece.replace(" ", blank) if piece.isascii() else piece.translate(table)
+        return array("I", [t.id for t in tokenize(letters)]).tobytes()
+
+    return Memo(merge, 100_000)
 
 
 def _found(words: list[str], lexicon: Transducer) -> list[bytes | None]:
     """Ids of words, as bytes, by the lexicon alone."""
     number = lexicon.find([w.encode() for w in words])
-    raw = lexicon.ids.tobytes()
+    raw = memoryview(lexicon.ids).cast("B")  # the file stays mapped; only the words' own ids are copied
     first, last = lexicon.ends[number].tolist(), lexicon.ends[number + 1].tolist()
-    return [raw[4 * a : 4 * b] if n >= 0 else None for a, b, n in zip(first, last, number.tolist())]
+    return [raw[4 * a : 4 * b].tobytes() if n >= 0 else None for a, b, n in zip(first, last, number.tolist())]
 
 
 def piece_ids(words: list[str], lexicon: Transducer, path: str) -> dict[str, bytes]:
     """Ids of distinct coarse pieces, as bytes: by the lexicon, else from their fine pieces, looked up or merged."""
-    known = dict(zip(words, _found(words, lexicon)))
-    fine = {}
-    for w in [w for w, ids in known.items() if ids is None]:
-        if _PLAIN_PIECE.match(w) and "<|" not in w:
-            fine[w] = _SPLIT.findall(w)
-        else:
-            known[w] = np.array(vocab.tokenizer(path).encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-    parts = list({q for own in fine.values() for q in own})
+    known, several = {}, []
     merged = _merged(path)
-    ids = {q: merged[q] if x is None else x for q, x in zip(parts, _found(parts, lexicon))}
-    for w, own in fine.items():
-        known[w] = ids[own[0]] if len(own) == 1 else b"".join([ids[q] for q in own])
+    for w, ids in zip(words, _found(words, lexicon)):
+        if ids is None:
+            if _PLAIN_PIECE.match(w) and "<|" not in w:
+                fine = _SPLIT.findall(w)
+                if len(fine) > 1:
+                    several.append((w, fine))
+                    continue
+                ids = merged.make(w)
+            else:
+                ids = array("I", vocab.tokenizer(path).encode(w, add_special_tokens=False).ids).tobytes()
+        known[w] = ids
+    parts = list({q for _, fine in several for q in fine})
+    table = {q: merged[q] if ids is None else ids for q, ids in zip(parts, _found(parts, lexicon))}
+    for w, fine in several:
+        known[w] = b"".join([table[q] for q in fine])
     return known
 
 
+class Pieces:
+    """Ids of coarse pieces, kept from slice to slice: two generations of at most ``limit`` short pieces each."""
+
+    def __init__(self, lexicon: Transducer, path: str, limit: int = _KEPT):
+        self.lexicon, self.path, self.limit = lexicon, path, limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds all of ``words``, until the next call."""
+        for w in self.long:
+            del self.new[w]
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        new, old, missing = self.new, self.old, []
+        for w in words.difference(new):
+            ids = old.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                new[w] = ids
+        new.update(piece_ids(missing, self.lexicon, self.path))
+        self.long = [w for w in missing if len(w) > 64]
+        return new
+
+
 def coarse(text: str, special: re.Pattern | None) -> list[str] | None:
     """Pieces of a text between which no token reaches; none for texts that only the library can cut."""
     if vocab.ODD_BLANKS.search(text):
@@ -197,10 +239,17 @@ def _counts(path: str):
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
-    """The ``size`` most frequent words of all texts, counted wherever they stand twice or more in a stretch of documents."""
+    """At most ``size`` words, the most frequent of all texts, counted wherever they stand twice or more in a stretch of documents."""
     rows = docs.select(F.col("text").cast("string")).mapInArrow(_counts(path), "word string, n long")
-    counts = rows.groupBy("word").agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(size)
+    counts = checkpoint(rows.groupBy("word").agg(F.sum("n").alias("n")).withColumn("band", F.floor(F.log2("n") * 64).cast("int")))
+    # some thousand bands of counts say where to cut, so that no more than ``size`` words ever leave their tasks
+    total, least = 0, 1 << 30
+    for band, words in counts.groupBy("band").count().orderBy(F.desc("band")).collect():
+        total += words
+        if total > size:
+            break
+        least = band
+    return counts.where(F.col("band") >= least).select("word", "n")
 
 
 def publish(spark: SparkSession, transducer: Transducer) -> str:
@@ -232,11 +281,12 @@ def _opened(name: str) -> Transducer:
     return Transducer.open(SparkFiles.get(name))
 
 
-def encode_texts(texts: list[str], lexicon: Transducer, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and how many each text has."""
+    path = pieces.path
     special = vocab.specials(path)
     cut = [coarse(t, special) for t in texts]
-    known = piece_ids(list({w for own in cut if own for w in own}), lexicon, path)
+    known = pieces.of({w for own in cut if own for w in own})
     parts = []
     for text, own in zip(texts, cut):
         if own is None:
@@ -246,13 +296,17 @@ def encode_texts(texts: list[str], lexicon: Transducer, path: str) -> tuple[np.n
     return np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
 
 
-def _encode(name: str, path: str):
+def _encode(name: str, path: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(_opened(name), path)
         for whole in batches:
             for lo in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(lo, _SLICE)
-                ids, n = encode_texts(as_text(batch.column(1)).to_pylist(), _opened(name), path)
-                yield pa.RecordBatch.from_arrays([batch.column(0), list_column(pa.array(ids.astype(np.int32)), n)], ["doc_id", "ids"])
+                ids, n = encode_texts(as_text(batch.column(1)).to_pylist(), pieces)
+                columns, names = [batch.column(0), list_column(pa.array(ids.astype(np.int32)), n)], ["doc_id", "ids"]
+                if back:
+                    columns, names = [*columns, pa.array(decode_ids(ids, n, path), pa.string())], [*names, "text"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -265,7 +319,18 @@ def encode(docs: DataFrame, lexicon: str | None = None, vocabulary: str | None =
     """
     path = vocabulary or vocab.vocabulary(VOCABULARY)
     name = lexicon or compile_lexicon(docs, path)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(name, path), "doc_id long, ids array<int>")
+    return _rows(docs).mapInArrow(_encode(name, path, False), "doc_id long, ids array<int>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def round_trip(docs: DataFrame, lexicon: str | None = None, vocabulary: str | None = None) -> DataFrame:
+    """Rows (doc_id, ids, text): ``encode`` and ``decode`` of its ids in one pass; rows as ``encode`` gives them."""
+    path = vocabulary or vocab.vocabulary(VOCABULARY)
+    name = lexicon or compile_lexicon(docs, path)
+    return _rows(docs).mapInArrow(_encode(name, path, True), "doc_id long, ids array<int>, text string")
 
 
 def decode_ids(ids: np.ndarray, counts: np.ndarray, path: str) -> list[str]:

@@ -105,7 +105,7 @@ FROM v JOIN least l ON v.vec_id = l.vec_id LEFT JOIN n ON n.u = v.vec_id
 
 @query
 def op9_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = lexicon.decode(lexicon.encode(table(spark, sf_dir, "documents")))
+    coded = lexicon.round_trip(table(spark, sf_dir, "documents"))
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
