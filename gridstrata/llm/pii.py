@@ -16,13 +16,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstrata.llm.common import Memo, as_text
 
-#: A stand-in; give your own to keep pseudonyms secret.
+#: A stand-in for tests on one machine; the key of a cluster is that of the session (``SETTING``).
 KEY = b"replace this key"
+SETTING = "spark.gridstrata.pii.key"
 ROUNDS = 10
 SPANS = "array<struct<kind:string,start:int,end:int,pseudonym:string>>"
 
@@ -34,9 +35,14 @@ def permute(value: int, size: int, tweak: bytes, key: bytes = KEY, back: bool =
     a = math.isqrt(size - 1) + 1
     b = -(-size // a)
 
+    wide = (size.bit_length() + 7) // 8
+    mark = b"%s|%d|" % (tweak, wide) + size.to_bytes(wide, "big")
+
     def turn(i: int, half: int, modulus: int) -> int:
-        raw = hmac.new(key, b"%s|%d|%d|%d" % (tweak, size, i, half), hashlib.sha256).digest()
-        return int.from_bytes(raw, "big") % modulus
+        part, out = mark + bytes([i]) + half.to_bytes(wide, "big"), b""
+        while 8 * len(out) < modulus.bit_length() + 64:  # far more bits than the modulus, so that no half is likelier
+            out += hmac.new(key, part + bytes([len(out) // 32]), hashlib.sha256).digest()
+        return int.from_bytes(out, "big") % modulus
 
     while True:
         left, right = value // b, value % b  # left below a, right below b
@@ -65,17 +71,36 @@ def refill(pattern: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in pattern)
 
 
+#: Characters that are permuted together; longer texts are chained run by run, so that work grows with their length.
+RUN = 64
+_SETS = {c: own for own in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in own}
+_HEX_SETS = _SETS | {c: own for own in ("abcdef", "ABCDEF") for c in own}
+
+
 def classes(text: str, tweak: bytes, key: bytes, back: bool = False) -> str:
-    """Letters and digits permuted as one number whose digits have the size of their class; all else stays."""
-    sets = ["0123456789" if c in "0123456789" else "abcdef" if c in "abcdef" and tweak == b"hex" else "ABCDEF" if c in "ABCDEF" and tweak == b"hex" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c for c in text]
+    """Letters and digits permuted as one number whose digits have the size of their class; all else stays.
+
+    Every run but the first depends on all plain characters before it.
+    """
+    known, out = b"", []
+    for at in range(0, len(text), RUN):
+        run = text[at : at + RUN]
+        new = _run_of_classes(run, tweak + known, key, back, _HEX_SETS if tweak == b"hex" else _SETS)
+        known = hashlib.sha256(known + (new if back else run).encode("utf-8", "surrogatepass")).digest()
+        out.append(new)
+    return "".join(out)
+
+
+def _run_of_classes(text: str, tweak: bytes, key: bytes, back: bool, sets: dict[str, str]) -> str:
+    own = [sets.get(c, c) for c in text]
     size, value = 1, 0
-    for c, own in zip(text, sets):
-        size, value = size * len(own), value * len(own) + own.index(c)
-    value = permute(value, size, tweak + b"|" + "".join(own[0] for own in sets).encode(), key, back)
+    for c, chars in zip(text, own):
+        size, value = size * len(chars), value * len(chars) + chars.index(c)
+    value = permute(value, size, tweak + b"|" + "".join(chars[0] for chars in own).encode("utf-8", "surrogatepass"), key, back)
     out = []
-    for own in reversed(sets):
-        value, at = divmod(value, len(own))
-        out.append(own[at])
+    for chars in reversed(own):
+        value, at = divmod(value, len(chars))
+        out.append(chars[at])
     return "".join(reversed(out))
 
 
@@ -189,7 +214,7 @@ def secret(text: str, key: bytes, back: bool = False) -> str | None:
 
 
 KINDS: dict[str, tuple[str, Callable[..., str | None]]] = {
-    "mail": (r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", mail),
+    "mail": (r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}", mail),  # from the sign on; its name is sought backwards
     # before iban: no account number has 32 hexadecimal characters
     "secret": (r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[A-Za-z0-9]{8,}|(?<![A-Za-z0-9])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])", secret),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
@@ -199,20 +224,60 @@ KINDS: dict[str, tuple[str, Callable[..., str | None]]] = {
     "card": (r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])", card),
     "phone": (r"(?<![\w+])\+\d{1,3}[ \-.]?(?:\(\d{1,4}\)[ \-.]?)?\d(?:[ \-.]?\d){5,11}(?!\d)|(?<![\w\-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w\-])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])", phone),
 }
-_ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, (pattern, _) in KINDS.items()))
+_ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, (pattern, _) in KINDS.items() if kind != "mail"))
+_MAIL = re.compile(KINDS["mail"][0])
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_NAME_START = re.compile("[A-Za-z0-9]")
+
+
+class _Mails:
+    """Mail addresses of a text from left to right, found from their signs outwards."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, _MAIL.finditer(text)
+        self._step()
+
+    def _step(self) -> None:
+        self.sign = next(self.found, None)
+        if self.sign:
+            k = self.low = self.sign.start()
+            while k and self.text[k - 1] in _NAME:
+                k -= 1
+            self.low = k
+
+    def after(self, at: int) -> tuple[int, int] | None:
+        """Span of the first address that starts at ``at`` or later; its name may be cut by what stood before."""
+        while self.sign:
+            start = _NAME_START.search(self.text, max(self.low, at), self.sign.start()) if at < self.sign.start() else None
+            if start:
+                self.low = max(self.low, start.start())
+                return start.start(), self.sign.end()
+            self._step()
+        return None
 
 
 def replace(text: str, pseudonym: Callable[[tuple[str, str]], str | None]) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and the places that were replaced in the text as it was."""
     out, spans, done, at = [], [], 0, 0
-    while m := _ANY.search(text, at):
-        new = pseudonym((m.lastgroup, m.group()))
+    mails, m, mail_at = _Mails(text), None, None
+    while True:
+        if mail_at is None or mail_at[0] < at:
+            mail_at = mails.after(at) or (len(text) + 1, 0)
+        if m is None or m is not False and m.start() < at:
+            m = _ANY.search(text, at) or False
+        if mail_at[1] and (not m or mail_at[0] <= m.start()):
+            kind, (start, end) = "mail", mail_at
+        elif m:
+            kind, start, end = m.lastgroup, m.start(), m.end()
+        else:
+            break
+        new = pseudonym((kind, text[start:end]))
         if new is None:  # a failed check hides no value inside it
-            at = m.start() + 1
+            at = start + 1
             continue
-        out += [text[done : m.start()], new]
-        spans.append({"kind": m.lastgroup, "start": m.start(), "end": m.end(), "pseudonym": new})
-        done = at = m.end()
+        out += [text[done:start], new]
+        spans.append({"kind": kind, "start": start, "end": end, "pseudonym": new})
+        done = at = end
     return ("".join([*out, text[done:]]) if spans else text), spans
 
 
@@ -222,12 +287,14 @@ _HAS = re.compile(r"[@\d]")
 
 def _run(key: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Memo(lambda kv: KINDS[kv[0]][1](kv[1], key, back), 100_000)
+        make = lambda kv: KINDS[kv[0]][1](kv[1], key, back)
+        short = Memo(make, 100_000)
+        made = lambda kv: short[kv] if len(kv[1]) <= 256 else make(kv)
         for batch in batches:
             texts = batch.column(1)
             new, spans = [], []
             for text in texts.to_pylist():
-                one, own = replace(text, made.__getitem__) if text and _HAS.search(text) else (text, [])
+                one, own = replace(text, made) if text and _HAS.search(text) else (text, [])
                 new.append(one)
                 spans.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(spans, _KINDS_OF)], ["rest", "text", "pii"])
@@ -235,19 +302,30 @@ def _run(key: bytes, back: bool):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key named by ``SETTING``; without it the public stand-in, on one machine only."""
+    named = spark.conf.get(SETTING, None)
+    if named:
+        return named.encode()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {SETTING}: pseudonyms under a public key can be undone")
+    return KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
     """Rows (rest, text, pii): the other columns of ``docs`` as a struct, the text with pseudonyms, and what was replaced.
 
     Equal values get equal pseudonyms in every document; ``back`` undoes them. Null texts stay null, empty texts empty;
-    numbers that fail their check stay. Repeated rows are treated alike; an empty table gives no rows.
+    numbers that fail their check stay. Time grows with the length of a text, whatever it holds. Repeated rows are treated alike; an empty table gives no rows.
     """
+    key = key or session_key(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     base = docs.select(F.struct(*others).alias("rest"), F.col("text").cast("string").alias("text"))
     rest = base.schema["rest"].dataType.simpleString()
     return base.mapInArrow(_run(key, back), f"rest {rest}, text string, pii {SPANS}")
 
 
-def masked(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def masked(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with pseudonyms in its texts; n_chars, where it has it, is counted anew for texts that changed."""
     found, kinds = pseudonymise(docs, key), dict(docs.dtypes)
     cols = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("text")}

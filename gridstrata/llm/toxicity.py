@@ -46,7 +46,6 @@ _BETWEEN = re.compile(rf"(?:[^\w{_ANY}]|_)+")
 _SPOT = re.compile(rf"[{_ANY}](?={_L})|(?<={_L})(?:[0-9@$|+(<*#%]|[!?]+(?=[{_ANY}]|{_L})|[-._]+(?=[{_ANY}]|{_L}))|(?i:({_L})\1\1)")
 _DRAWN = re.compile(rf"({_L})\1\1", re.I)
 _JOINTS = re.compile("[-._]+")
-_TAIL = re.compile(r"(.)\1*$")
 _LONG = re.compile(r"(.)\1{3,}", re.S)  # three copies of a drawn-out letter decode as any larger number of them
 
 
@@ -189,9 +188,11 @@ def _bodies(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
     """The readings of a piece that are disguised: with the signs at its ends as letters, and without them."""
     while lo < hi and text[hi - 1] in "!?":
         hi -= 1
-    tail = _TAIL.search(text[lo:hi])
-    if tail and len(tail.group()) > 1 and not tail.group()[0].isalnum():
-        hi = lo + tail.start()
+    start = hi  # the last character and its copies before it
+    while start > lo and text[start - 1] == text[hi - 1]:
+        start -= 1
+    if hi - start > 1 and not text[start].isalnum():
+        hi = start
     closed = text[lo : lo + 1] in ("(", "<") and text[hi : hi + 1] in (")", ">")
     own = text[lo:hi]
     bare = own.strip("@$!|+(<*#%?")
