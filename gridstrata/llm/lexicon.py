@@ -15,6 +15,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ _DISTINCT = 150_000
 #: Documents whose words and ids a task holds at once.
 _SLICE = 700
 #: Pieces whose ids a task keeps in each of two generations, about 150 bytes each.
-_KEPT = 100_000
+_KEPT = 300_000
 #: The split of the byte vocabulary for text whose blanks are single blanks before words (fixed by the vocabulary file).
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+| ?[^\\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
@@ -157,17 +158,26 @@ def _found(words: list[str], lexicon: Transducer) -> list[bytes | None]:
     return [raw[4 * a : 4 * b].tobytes() if n >= 0 else None for a, b, n in zip(first, last, number.tolist())]
 
 
+def _fine(w: str) -> list[str] | None:
+    """Fine pieces of a coarse piece as the library cuts it; None for those that it has to cut itself."""
+    if w.isascii():  # a word and the signs behind it, by far the most
+        body = w.rstrip(",.;:!?%#*&$")
+        if body[w[0] == " " :].isalpha():
+            return [body, w[len(body) :]] if len(body) < len(w) else [w]
+    return _SPLIT.findall(w) if _PLAIN_PIECE.match(w) and "<|" not in w else None
+
+
 def piece_ids(words: list[str], lexicon: Transducer, path: str) -> dict[str, bytes]:
     """Ids of distinct coarse pieces, as bytes: by the lexicon, else from their fine pieces, looked up or merged."""
     known, several = {}, []
     merged = _merged(path)
     for w, ids in zip(words, _found(words, lexicon)):
         if ids is None:
-            if _PLAIN_PIECE.match(w) and "<|" not in w:
-                fine = _SPLIT.findall(w)
-                if len(fine) > 1:
-                    several.append((w, fine))
-                    continue
+            fine = _fine(w)
+            if fine and len(fine) > 1:
+                several.append((w, fine))
+                continue
+            if fine:
                 ids = merged.make(w)
             else:
                 ids = array("I", vocab.tokenizer(path).encode(w, add_special_tokens=False).ids).tobytes()
@@ -286,7 +296,7 @@ def encode_texts(texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarr
     path = pieces.path
     special = vocab.specials(path)
     cut = [coarse(t, special) for t in texts]
-    known = pieces.of({w for own in cut if own for w in own})
+    known = pieces.of(set(chain.from_iterable(own for own in cut if own)))
     parts = []
     for text, own in zip(texts, cut):
         if own is None:
