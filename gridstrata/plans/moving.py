@@ -21,7 +21,7 @@ def over(rows_back, ahead=0):
     return f"(PARTITION BY bldg_id ORDER BY ts ROWS BETWEEN {rows_back} PRECEDING AND {ahead} FOLLOWING)"
 
 
-LAGS = {"1": 1, "m1": -1, "2": 2, "m2": -2, "4": 4, "m4": -4, "8": 8, "week": 168, "month": 672}
+LAGS = {n: k for m, k in {"1": 1, "2": 2, "3": 3, "4": 4, "8": 8, "week": 168, "month": 672}.items() for n, k in ((m, k), (f"m{m}", -k))}
 
 
 @query(

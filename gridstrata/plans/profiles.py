@@ -328,7 +328,7 @@ def agg_value_counts(spark, sf):
     return rounded(out, ["bldg_id", "most_seen"])
 
 
-LAGS = {"last_1": 1, "next_1": -1, "last_2": 2, "next_2": -2, "last_4": 4, "next_4": -4, "last_week": 168, "next_week": -168}
+LAGS = {f"{way}_{n}": k * sign for n, k in {"1": 1, "2": 2, "3": 3, "4": 4, "8": 8, "week": 168, "month": 672}.items() for way, sign in (("last", 1), ("next", -1))}
 # 2 % to 10 % in steps of 2, then to 100 % in steps of 5.
 THRESHOLDS = [2, 4, 6, 8, 10, *range(15, 101, 5)]
 
