@@ -48,7 +48,8 @@ def test_encoding_and_decoding_equal_the_library(make, odd, hard):
 def test_any_lexicon_gives_the_same_ids(odd):
     words = sorted({w for t in odd for w in lexicon.coarse(t, vocab.specials(BYTE)) or ()})[::3]
     words = sorted(w.encode() for w in words)
-    ids = [Tokenizer.from_file(BYTE).encode(w.decode(), add_special_tokens=False).ids for w in words]
+    tok = Tokenizer.from_file(BYTE)
+    ids = [tok.encode(w.decode(), add_special_tokens=False).ids for w in words]
     full = lexicon.Transducer.build(words, ids)
     assert full.find(words).tolist() == list(range(len(words)))
     assert len(full.final) < sum(map(len, words))  # suffixes are shared
