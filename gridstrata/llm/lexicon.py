@@ -228,29 +228,26 @@ def coarse(text: str, special: re.Pattern | None) -> list[str] | None:
     return out
 
 
-def _counts(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = vocab.specials(path)
-
-        def out(seen: Counter) -> pa.RecordBatch:
-            often = [(w, n) for w, n in seen.items() if n > 1]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words between blanks, with a blank before them, as most of them stand in a text."""
 
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in as_text(batch.column(0)):
-                seen.update(coarse(text.as_py(), special) or ())
-                if len(seen) > _DISTINCT:
-                    yield out(seen)
-                    seen = Counter()
-        yield out(seen)
+    def out(seen: Counter) -> pa.RecordBatch:
+        often = [(f" {w}", n) for w, n in seen.items() if n > 1]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
 
-    return run
+    seen: Counter = Counter()
+    for batch in batches:
+        for text in as_text(batch.column(0)):
+            seen.update(text.as_py().split())
+            if len(seen) > _DISTINCT:
+                yield out(seen)
+                seen = Counter()
+    yield out(seen)
 
 
-def frequent_words(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
+def frequent_words(docs: DataFrame, size: int = LEXICON) -> DataFrame:
     """At most ``size`` words, the most frequent of all texts, counted wherever they stand twice or more in a stretch of documents."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counts(path), "word string, n long")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counts, "word string, n long")
     counts = checkpoint(rows.groupBy("word").agg(F.sum("n").alias("n")).withColumn("band", F.floor(F.log2("n") * 64).cast("int")))
     # some thousand bands of counts say where to cut, so that no more than ``size`` words ever leave their tasks
     total, least = 0, 1 << 30
@@ -278,7 +275,7 @@ def publish(spark: SparkSession, transducer: Transducer) -> str:
 def compile_lexicon(docs: DataFrame, vocabulary: str | None = None, size: int = LEXICON) -> str:
     """Count, compile and publish; returns the name for ``encode``. At most ``size`` words come to the driver."""
     path = vocabulary or vocab.vocabulary(VOCABULARY)
-    words = sorted((r.word.encode(), r.word) for r in frequent_words(docs, path, size).collect())
+    words = sorted((r.word.encode(), r.word) for r in frequent_words(docs, size).collect())
     known = piece_ids([w for _, w in words], Transducer.build([], []), path)
     ids = [np.frombuffer(known[w], "<u4").tolist() for _, w in words]
     return publish(docs.sparkSession, Transducer.build([b for b, _ in words], ids))
