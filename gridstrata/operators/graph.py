@@ -1,4 +1,4 @@
-"""Neighbour degrees, neighbour sums, connected components and density clusters."""
+"""Neighbour degrees, neighbour sums, connected components and merged vectors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstrata.operators.joins import within_distance
 from gridstrata.session import checkpoint
 
 
@@ -70,30 +69,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def density_clusters(df: DataFrame, keys: Sequence[str], pid: str, x: str, y: str, eps: float, min_samples: int) -> DataFrame:
-    """Density clusters per key: points with ``min_samples`` rows within ``eps`` are cores; cores within reach join.
-
-    Border points take the smallest core cluster in reach, the rest is noise (−1). Rows at one place are one weighted
-    place, so copies add no pairs; places meet only in neighbouring grid cells.
-    """
-    place = [*keys, x, y]
-    places = checkpoint(df.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min(pid).alias("p")))
-    pairs = within_distance(places, places, x, y, eps, keys=keys)
-    weight = pairs.groupBy("p").agg(F.sum("n_2").alias("w"))
-    cores = weight.where(F.col("w") >= min_samples).select("p")
-    near = pairs.select("p", F.col("p_2").alias("q")).join(cores.select(F.col("p").alias("q")), "q")
-    near = checkpoint(near)
-    links = near.join(cores, "p", "left_semi").select(F.col("p").alias("u"), F.col("q").alias("v"))
-    roots = connected_components(links)
-    labels = cores.select(F.col("p").alias("node")).join(roots, "node", "left")
-    labels = labels.select(F.col("node").alias("q"), F.coalesce("component", "node").alias("cluster"), F.lit(True).alias("core"))
-    own = labels.select(F.col("q").alias("p"), F.col("cluster").alias("_own"))
-    border = near.join(labels, "q").groupBy("p").agg(F.min("cluster").alias("_near"))
-    found = places.join(own, "p", "left").join(border, "p", "left")
-    cluster = F.coalesce("_own", "_near", F.lit(-1)).alias("cluster")
-    return df.join(found.select(*place, cluster, F.col("_own").isNotNull().cast("int").alias("core")), place)
-
-
 def merge_similar(df: DataFrame, key: str, pid: str, tolerances: dict[str, float], size: str, area: Column) -> DataFrame:
     """Vectors of one key that agree within all tolerances are one; the largest of each chain of such vectors stays.
 

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from gridstrata.functions import calendar as cal
-from gridstrata.operators import cluster, encode, graph
+from gridstrata.operators import cluster, density, encode
 from gridstrata.operators.blocks import HOUR
-from gridstrata.plans.base import DIMENSIONS, grid, long, r6, readings, with_
+from gridstrata.plans.base import DIMENSIONS, VIEWS, grid, long, r6, readings, with_
 from gridstrata.plans.profiles import rounded
 from gridstrata.plans.registry import query
+from gridstrata.plans.spaces import density_sql
 from gridstrata.sources import table
 
 DIMS = [f"d{i}" for i in range(DIMENSIONS)]
@@ -42,14 +43,18 @@ def kshape_profiles(spark, sf):
     return rounded(cluster.kshape(prof, "bldg_id", "x", 3, rounds=3), ["bldg_id"])
 
 
-@query("dbscan_features")
+@query(
+    "dbscan_features",
+    density_sql("SELECT 0 AS g, bldg_id AS id, avg(energy) AS x, avg(energy) FILTER (hour(ts) BETWEEN 0 AND 5) AS y FROM readings GROUP BY bldg_id", 2.0, 4, readings=VIEWS["readings"])
+    + "SELECT pt.id AS bldg_id, CAST(coalesce(cluster, -1) AS BIGINT) AS cluster, CAST(coalesce(core, 0) AS BIGINT) AS core FROM pt LEFT JOIN fo ON fo.x = pt.x AND fo.y = pt.y",
+)
 def dbscan_features(spark, sf):
     hour = F.hour("ts")
     feats = readings(spark, sf).groupBy("bldg_id").agg(
         F.avg("energy").alias("x"), F.avg(F.when(hour.between(0, 5), F.col("energy"))).alias("y")
     )
     rows = feats.withColumn("all", F.lit(0))
-    out = graph.density_clusters(rows, ["all"], "bldg_id", "x", "y", 2.0, 4)
+    out = density.density_clusters(rows, ["all"], "bldg_id", "x", "y", 2.0, 4)
     return out.select("bldg_id", long("cluster").alias("cluster"), long("core").alias("core"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridstrata.operators import graph, joins, spatial, volume
+from gridstrata.operators import density, graph, joins, spatial, volume
 from gridstrata.plans.base import cells, grid, long, points, r6, stations, with_
 from gridstrata.plans.joining import EDGES, INSIDE, RING, zones
 from gridstrata.plans.profiles import rounded
@@ -64,12 +64,34 @@ def graph_adjacency_by_distance(spark, sf):
     return pairs.select(F.col("pid").alias("src"), F.col("pid_2").alias("dst"), kind.alias("kind"))
 
 
-@query("cluster_density_hourly")
+def density_sql(points: str, eps: float, need: int, **before: str) -> str:
+    """Clusters of rows (g, id, x, y) by pairs of places and the reach of each core along cores."""
+    steps = with_(
+        **before,
+        pt=points,
+        pl="SELECT g, x, y, count(*) AS n, min(id) AS p FROM pt GROUP BY ALL",
+        pr=f"""SELECT a.p, b.p AS q, b.n FROM pl a JOIN pl b ON a.g = b.g AND abs(a.x - b.x) <= {eps} AND abs(a.y - b.y) <= {eps}
+            AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {eps * eps}""",
+        co=f"SELECT p FROM pr GROUP BY p HAVING sum(n) >= {need}",
+        ed="SELECT p, q FROM pr WHERE p IN (FROM co) AND q IN (FROM co)",
+        re="SELECT p, q FROM ed UNION SELECT re.p, ed.q FROM re JOIN ed ON ed.p = re.q",
+        cl="SELECT p, min(q) AS c FROM re GROUP BY p",
+        bo="SELECT pr.p, min(c) AS c FROM pr JOIN cl ON cl.p = pr.q WHERE pr.p NOT IN (FROM co) GROUP BY pr.p",
+        fo="SELECT pl.*, coalesce(cl.c, bo.c, -1) AS cluster, CASE WHEN cl.c IS NULL THEN 0 ELSE 1 END AS core FROM pl LEFT JOIN cl USING (p) LEFT JOIN bo USING (p)",
+    )
+    return steps.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "cluster_density_hourly",
+    density_sql("SELECT date_trunc('hour', ts) AS g, event_id AS id, (user_id * 37) % 101 / 10.0::DOUBLE AS x, (user_id * 53) % 97 / 10.0::DOUBLE AS y FROM events WHERE value >= 5", 2.0, 3)
+    + "SELECT pt.g AS hour, pt.id AS event_id, CAST(cluster AS BIGINT) AS cluster, CAST(core AS BIGINT) AS core FROM pt JOIN fo ON fo.g = pt.g AND fo.x = pt.x AND fo.y = pt.y",
+)
 def cluster_density_hourly(spark, sf):
     events = table(spark, sf, "events").where("value >= 5").select(
         F.date_trunc("hour", "ts").alias("hour"), "event_id", ((F.col("user_id") * 37) % 101 / 10.0).alias("x"), ((F.col("user_id") * 53) % 97 / 10.0).alias("y")
     )
-    out = graph.density_clusters(events, ["hour"], "event_id", "x", "y", 2.0, 3)
+    out = density.density_clusters(events, ["hour"], "event_id", "x", "y", 2.0, 3)
     return out.select("hour", "event_id", long("cluster").alias("cluster"), long("core").alias("core"))
 
 

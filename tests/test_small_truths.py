@@ -20,29 +20,6 @@ def test_components(spark):
     assert roots[100] == roots[101] == roots[103] == 100
 
 
-def brute_dbscan(points, eps, need):
-    near = {a: [b for b in points if math.dist(points[a], points[b]) <= eps] for a in points}
-    core = {a for a in points if len(near[a]) >= need}
-    root = {a: a for a in core}
-    changed = True
-    while changed:
-        changed = False
-        for a in core:
-            low = min(root[b] for b in near[a] if b in core)
-            if low < root[a]:
-                root[a], changed = low, True
-    return {a: root[a] if a in core else min((root[b] for b in near[a] if b in core), default=-1) for a in points}
-
-
-def test_density_clusters(spark):
-    rng = np.random.default_rng(5)
-    points = {i: tuple(np.round(rng.uniform(0, 6, 2), 1)) for i in range(60)}
-    points[60] = points[61] = points[62] = (9.0, 9.0)
-    df = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in points.items()], "g int, id int, x double, y double")
-    got = {r["id"]: r["cluster"] for r in graph.density_clusters(df, ["g"], "id", "x", "y", 0.7, 3).collect()}
-    assert got == brute_dbscan(points, 0.7, 3)
-
-
 def test_merge_similar_keeps_the_largest(spark):
     rows = [(1, 10, 0.0, 0.0, 5), (1, 11, 0.1, 0.1, 9), (1, 12, 0.3, 0.2, 2), (1, 13, 5.0, 5.0, 1), (2, 14, 0.1, 0.1, 1)]
     df = spark.createDataFrame(rows, "h int, id int, lat double, lon double, size int")
