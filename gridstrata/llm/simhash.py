@@ -173,9 +173,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = checkpoint(prints.where("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node")))
     placed = nodes.select("node", "bits").mapInArrow(_replicate, "anchor long, bits long, node long")
     links = spread(placed, "anchor").mapInArrow(_compare, "u long, v long")
-    same = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi"), F.collect_set("bits").alias("all"))
     # an id that comes with several texts joins their fingerprints
-    ids = same.where("lo <> hi").select("doc_id", F.explode("all").alias("bits")).join(nodes, "bits").select(F.col("node").alias("u"), F.col("doc_id"))
+    named = prints.where("doc_id IS NOT NULL").select("doc_id", "bits")
+    several = named.groupBy("doc_id").agg(F.min("bits").alias("lo"), F.max("bits").alias("hi")).where("lo <> hi").select("doc_id")
+    ids = named.join(several, "doc_id", "left_semi").distinct().join(nodes, "bits").select(F.col("node").alias("u"), "doc_id")
     ids = ids.join(ids.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v")
     found = components(links.unionByName(ids))
     classes = nodes.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))

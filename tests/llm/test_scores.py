@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridstrata.llm import labelled, pii, quality, simhash, substrings, toxicity
@@ -185,6 +186,23 @@ def test_stages_take_odd_rows(base, make, hard, small, stage):
     assert stage[1](base, make([]), small).count() == 0
 
 
+def test_sample_is_bounded_by_rows(base):
+    """An id with many texts, and more ids than the bound; below the bound every row is taken, repeats too."""
+    labels = base.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    docs = base.createDataFrame([(6, f"text {i}") for i in range(900)] + [(8, "same")] * 300 + [(i, f"own {i}") for i in range(100, 400)], "doc_id long, text string")
+    ids = [i for i in (6, 8, *range(100, 400)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    full = labelled.sample(docs, labels, "quality", 4, 2, 4000)
+    assert full.count() == sum({6: 900, 8: 300}.get(i, 1) for i in ids)
+    cut = labelled.sample(docs, labels, "quality", 4, 2, 3000).collect()
+    assert {r.doc_id for r in cut} <= set(ids) and all(r.label == r.doc_id % 2 for r in cut)
+    distinct = docs.where(F.col("doc_id").isin(ids)).distinct()
+    got = labelled.first_by_hash(distinct, ["doc_id", "text"], 50)
+    want = distinct.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(50)
+    assert got.collect() == want.collect() and got.count() == 50
+    hot = labelled.sample(docs, labels.where("doc_id IN (6, 8)"), "quality", 4, 2, 40)
+    assert hot.count() == 40 and hot.distinct().count() == 40
+
+
 def test_words_of_all_scripts_are_scored(base):
     """Held-out recall per language: toxic documents marked by words that begin alike, in Latin with accents and in other scripts."""
     marks = {"fr": "réêux", "de": "über", "ru": "дурак", "el": "βλάκας", "hi": "मूर्ख", "en": "idiot"}
