@@ -166,6 +166,7 @@ def test_pipeline_stages(base, small):
     assert masked.columns == docs.columns and masked.count() == docs.count()
     packed = corpus_pipeline.run(base, small)
     assert packed.where("length < 1 OR offset < 0 OR offset + length > 4096").count() == 0
+    assert packed.where("octet_length(ids) <> 4 * length OR crc32(ids) <> ids_crc32").count() == 0
     assert packed.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("`sum(length)` <> `max(doc_tokens)`").count() == 0
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} <= {r.doc_id for r in kept.collect()}
 
