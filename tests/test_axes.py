@@ -34,6 +34,22 @@ def test_spine_fill_of_nothing(spark):
     assert spine_fill(stamps(spark, [], "ts", "v"), ["k"], "ts", "v", "1 hour").count() == 0
 
 
+def test_spine_fill_between_steps_and_without_keys(spark):
+    rows = [("a", "2024-01-01 00:20:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0), (None, "2024-01-02 02:20:00", None), (None, "2024-01-02 02:20:00", 4.0), ("c", None, 1.0)]
+    got = spine_fill(stamps(spark, rows, "ts", "v"), ["k"], "ts", "v", "1 hour").collect()
+    assert len(got) == 3 * 27 + 1 and {(r.k, str(r.ts)) for r in got if r.k != "c" and str(r.ts)[14:16] != "20"} == {("a", "2024-01-01 00:50:00")}
+    assert sorted((str(r.k), str(r.ts), r.v) for r in got if r.v) == [
+        ("None", "2024-01-02 02:20:00", 4.0), ("a", "2024-01-01 00:20:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0)]
+
+
+def test_spine_fill_is_dealt_out(spark):
+    """The axis of many keys is made by all tasks, however few bytes its keys have, and is in no aggregation."""
+    df = spark.range(400).select(F.col("id").cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.lit(1.0).alias("v"))
+    got = spine_fill(df, ["k"], "ts", "v", "1 hour")
+    per_task = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 400 * 400 and len(per_task) == 4 and max(per_task) < 400 * 400 / 2
+
+
 def test_counts_and_labels_of_any_year(spark):
     rows = [("a", "1980-01-01 05:00:00", "1980-01-03 01:00:00"), ("b", "2030-06-01 00:00:00", "2030-06-01 07:00:00")]
     df = stamps(spark, rows, "s", "e")
