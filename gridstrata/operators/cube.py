@@ -8,21 +8,29 @@ shuffle, so neither the input nor its width grows with the number of groupings.
 Quantiles, trimmed sums and mean deviations are exact. ``rank_facts`` counts values in bins of nearly equal relative
 width (a bin is an exponent and ten bits below it, so it needs no look at the range beforehand and merges like any
 count), finds the bins that hold the wanted ranks of all groups at once, and orders the values of those bins alone.
+
+``by_key`` deals the rows out by key once, and every grouping is made where the rows of its key are: no cell is written
+and no grouping is shuffled. Groups are then ordered as arrays. Keys with more than ``WHOLE`` rows go the other way, over
+written cells and bins, so that no task holds them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridstrata.operators.resample import spread
 from gridstrata.session import scratch_path
 
 #: Bins between two powers of two, and room for the exponents of all doubles.
 STEPS = 1024
 _SHIFT = 1100 * STEPS
 _FAR = 1 << 40
+#: Most rows of a key that are worked on in one task, and rows that a task has of all its keys, about.
+WHOLE, DEALT = 1 << 18, 1 << 16
 
 
 def magnitude_bin(x: str | Column) -> Column:
@@ -43,6 +51,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def by_key(rows: DataFrame, keys: Sequence[str], make: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``make(rows, whole)`` over the rows dealt out by key (whole), and over those of keys with more than ``WHOLE`` rows.
+
+    At most one number per ``WHOLE`` rows comes to the driver: the hash of a crowded key.
+    """
+    mark = F.xxhash64(*keys)
+    sizes = rows.groupBy(mark.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    n, crowded = sizes.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > WHOLE, F.col("_k")))).first()
+    tasks = (n or 0) // DEALT
+    if not crowded:
+        return make(spread(rows, *keys, least=tasks), True)
+    return make(spread(rows.where(~mark.isin(crowded)), *keys, least=tasks), True).unionByName(make(rows.where(mark.isin(crowded)), False))
+
+
+def single(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
+    """Each row as a cell of its own: day, hour, value ``x`` and one row."""
+    return df.select(
+        *keys, F.date_trunc("day", ts).alias("day"), F.hour(ts).alias("hour"), F.col(value).cast("double").alias("x"), F.lit(1).cast("bigint").alias("rows"))
+
+
 def cells(df: DataFrame, keys: Sequence[str], ts: str, measures: Sequence[str], counted: str | None = None) -> DataFrame:
     """States of the measures per key, day, hour and, if ``counted`` names a measure, its value (column ``x``)."""
     t = F.col(ts)
@@ -162,12 +190,81 @@ def quantile(name: str, p: float) -> Column:
     return F.when(part > 0, low + (high - low) * part).otherwise(low)
 
 
-def quantiles(values: DataFrame, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles of counted values (x, c), one column for each of ``probs``."""
+def ordered(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Single values (x, each one row) as a rising array ``_xs`` per group, with n and total as ``rank_facts`` has them.
+
+    Null values come before all others: they count in n (``_nulls`` of them) and have ranks, but no value. Groups with a
+    null name and groups without a value are left out, as by the joins of ``rank_facts``.
+    """
+    groups = values.groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("_xs"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])
+    return groups.where(named & (F.size("_xs") > 0)).withColumns({"_nulls": F.col("n") - F.size("_xs"), "hi": F.element_at("_xs", -1)})
+
+
+def at_rank(rank: Column, array: str = "_xs") -> Column:
+    """Value of a 0-based rank in a group of ``ordered``; null outside."""
+    return F.get(array, (rank - F.col("_nulls")).cast("int"))
+
+
+def quantile_of(p: float, array: str = "_xs") -> Column:
+    """Linear interpolation between the two ranks in a group of ``ordered``."""
+    h = (F.col("n") - 1) * F.lit(float(p))
+    part, low = h - F.floor(h), at_rank(F.floor(h), array)
+    return F.when(part > 0, low + (at_rank(F.ceil(h), array) - low) * part).otherwise(low)
+
+
+def _sum_of(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+
+
+def quantiles(values: DataFrame, by: Sequence[str], probs: dict[str, float], whole: bool = False) -> DataFrame:
+    """Exact quantiles of counted values (x, c), one column for each of ``probs``; ``whole``: values of one row each, by key."""
+    if whole:
+        return ordered(values, by).select(*by, *[quantile_of(p).alias(n) for n, p in probs.items()])
     facts = rank_facts(values, by, quantile_ranks(probs))
     return facts.select(*by, *[quantile(n, p).alias(n) for n, p in probs.items()])
 
 
+def shapes(values: DataFrame, by: Sequence[str], whole: bool = False) -> DataFrame:
+    """Median ``med``, largest value ``hi`` and skewness ``skew`` of counted values (x, c); ``whole``: values of one row each, by key."""
+    if whole:
+        power = lambda k: _sum_of(F.transform("_xs", lambda x: reduce(lambda a, b: a * b, [x - F.col("total") / F.col("n")] * k)))
+        n = F.col("n")
+        skew = F.when(n > 2, F.sqrt(n * (n - 1.0)) / (n - 2) * F.try_divide(power(3) / n, F.pow(power(2) / n, F.lit(1.5))))
+        return ordered(values, by).select(*by, "hi", quantile_of(0.5).alias("med"), skew.alias("skew"))
+    medians = rank_facts(values, by, quantile_ranks({"m": 0.5})).select(*by, "hi", quantile("m", 0.5).alias("med"))
+    moments = values.join(written(values.groupBy(*by).agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_m")), "means"), by)
+    d = F.col("x") - F.col("_m")
+    n = F.sum("c")
+    skew = moments.groupBy(*by).agg(
+        F.when(n > 2, F.sqrt(n * (n - 1.0)) / (n - 2) * F.try_divide(F.sum(d * d * d * F.col("c")) / n, F.pow(F.sum(d * d * F.col("c")) / n, 1.5))).alias("skew"))
+    return medians.join(skew, by)
+
+
+def ordered_distribution(groups: DataFrame, by: Sequence[str], probs: dict[str, float], cut: float = 0.1) -> DataFrame:
+    """``distribution`` of the groups that ``ordered`` made; a group is one row, so nothing is joined."""
+    n, mean, k = F.col("n"), F.col("total") / F.col("n"), F.floor(F.col("n") * cut)
+    # groups whose median is a null value have no deviations
+    g = groups.withColumn("_median", quantile_of(0.5)).where("_median IS NOT NULL")
+    g = g.withColumn("_away", F.sort_array(F.transform("_xs", lambda x: F.abs(x - F.col("_median")))))
+
+    def under(rank: Column) -> Column:
+        return F.when(at_rank(rank).isNotNull(), _sum_of(F.slice("_xs", F.lit(1), (rank - F.col("_nulls")).cast("int"))))
+
+    g = g.withColumns({"_less": F.filter("_xs", lambda x: x < mean), "_to": F.when(k == 0, F.col("total")).otherwise(under(n - k))})
+    less = F.when(magnitude_bin(F.col("_xs")[0]) <= magnitude_bin(mean), F.col("_nulls") + F.size("_less")).otherwise(0)
+    share = lambda x: F.try_divide(x, "total")
+    shares = F.filter(F.transform("_xs", share), lambda s: s > 0)
+    positive = F.filter("_xs", lambda x: x > 0)
+    return g.select(
+        *by, *[quantile_of(p).alias(name) for name, p in probs.items()],
+        F.try_divide(F.col("_to") - under(k), n - 2 * k).alias("trimmed_mean"), (at_rank(n - k - 1) - at_rank(k)).alias("trimmed_range"),
+        (2 * (mean * less - _sum_of(F.col("_less"))) / n).alias("mean_abs_dev"), F.try_divide(mean, "hi").alias("mean_to_peak"),
+        F.when(F.size(shares) > 0, -_sum_of(F.transform(shares, lambda s: s * F.ln(s)))).alias("entropy"),
+        F.exp(F.try_divide(_sum_of(F.transform(positive, F.ln)), F.size(positive))).alias("geometric_mean"),
+        quantile_of(0.5, "_away").alias("median_abs_dev"))
+
+
 def distribution(values: DataFrame, by: Sequence[str], probs: dict[str, float], cut: float = 0.1) -> DataFrame:
     """Quantiles, trimmed mean and range, mean and median absolute deviation, entropy and geometric mean of counted values.
 

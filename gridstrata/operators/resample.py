@@ -39,12 +39,12 @@ def _micros(step: str) -> int:
     return round(float(number) * _UNITS[unit.lower().rstrip("s")] * 1_000_000)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt out by ``by`` to as many tasks as the session's shuffles have.
+def spread(df: DataFrame, *by: str, least: int = 1) -> DataFrame:
+    """Rows dealt out by ``by`` to as many tasks as the session's shuffles have, ``least`` at least.
 
     For rows that each become many: the engine merges partitions by the bytes that go in, so one task would make all.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 def spine_fill(

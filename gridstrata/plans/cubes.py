@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gridstrata.functions import calendar as cal
 from gridstrata.operators import cube
 from gridstrata.operators.blocks import HOUR, over_blocks
+from gridstrata.operators.resample import spread
 from gridstrata.plans.base import grid, r6, readings, with_
 from gridstrata.plans.registry import query
 
@@ -79,7 +80,9 @@ def agg_multi_stat_cube(spark, sf):
     """Thirteen groupings of three measures, long; a statistic that a bucket has not is −1, ranges only of the complete groupings."""
     df = over_blocks(grid(spark, sf), KEY, "ts", lambda w: {"diff": F.col("energy") - F.lag("energy").over(w)}, before=HOUR)
     df = df.withColumn("rising", (F.col("diff") > 0).cast("double"))
-    states = cube.written(cube.cells(df, KEY, "ts", list(MEASURES), "energy"), "cells")
+    # a building has one row for each hour of the axis, so its rows fit one task
+    df = spread(df, *KEY)
+    states = cube.cells(df, KEY, "ts", list(MEASURES))
     # weeks and holidays are cut from the cells; the other groupings share a level of parts that repeat from week to week
     apart = [g for g in SIMPLE + COMPLETE if set(g) & {"week", "is_holiday"}]
     shared = [g for g in SIMPLE + COMPLETE if g not in apart]
@@ -88,7 +91,8 @@ def agg_multi_stat_cube(spark, sf):
     long = long.unionByName(cube.roll_up(states, KEY, {"_".join(g): bucket(g) for g in apart}, list(MEASURES)))
     by = [*KEY, "grouping", "bucket"]
     ranged = cube.quantiles(
-        cube.by_bucket(states, KEY, {"_".join(g): bucket(g) for g in COMPLETE}), by, {"q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9})
+        cube.by_bucket(cube.single(df, KEY, "ts", "energy"), KEY, {"_".join(g): bucket(g) for g in COMPLETE}), by,
+        {"q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}, whole=True)
     stats = [F.coalesce(r6(cube.statistic(m, s)), F.lit(-1.0)).alias(f"{m}_{s}") for m, names in MEASURES.items() for s in names]
     return long.join(ranged, by, "left").select(
         *by, F.col("rows").alias("n"), *stats, r6(F.col("q75") - F.col("q25")).alias("iqr_75_25"), r6(F.col("q90") - F.col("q10")).alias("iqr_90_10"))
@@ -137,7 +141,15 @@ def _wide_sql():
 )
 def agg_profile_products(spark, sf):
     """One row per building: totals, means, extremes and medians over buckets and their products, and means of daily sums."""
-    states = cube.written(cube.cells(readings(spark, sf), KEY, "ts", ["energy"], "energy"), "cells")
+    return cube.by_key(readings(spark, sf), KEY, _profile_products)
+
+
+def _profile_products(rows, whole):
+    states = cube.cells(rows, KEY, "ts", ["energy"], "energy")
+    if whole:
+        counted = cube.single(rows, KEY, "ts", "energy")
+    else:
+        counted = states = cube.written(states, "cells")
 
     def label(dims):
         return F.concat_ws("_", *[F.concat(F.lit(f"{d}_"), _W[d][0]().cast("string")) for d in dims]) if dims else F.lit("ever")
@@ -148,7 +160,7 @@ def agg_profile_products(spark, sf):
             wanted.setdefault(dims, []).append((prefix, stat))
     plain = {"-".join(d): label(d) for d in wanted}
     long = cube.roll_up(states, KEY, plain, ["energy"])
-    medians = cube.quantiles(cube.by_bucket(states, KEY, {"month": label(("month",))}), [*KEY, "grouping", "bucket"], {"median": 0.5})
+    medians = cube.quantiles(cube.by_bucket(counted, KEY, {"month": label(("month",))}), [*KEY, "grouping", "bucket"], {"median": 0.5}, whole)
     days = states.groupBy(*KEY, "day").agg(F.sum("rows").alias("rows"), F.sum("s_energy").alias("s"))
     days = days.withColumn("_e", F.explode(cube.entries({"-".join(d): label(d) for d in WIDE["daily"][1]})))
     daily = days.groupBy(*KEY, F.col("_e.grouping").alias("grouping"), F.col("_e.bucket").alias("bucket")).agg(
@@ -159,11 +171,11 @@ def agg_profile_products(spark, sf):
             if stat in ("sum", "mean", "max", "min"):
                 entry = F.when(F.col("grouping") == "-".join(dims), F.array(F.struct(F.lit(prefix).alias("p"), cube.statistic("energy", stat).alias("v"))))
                 values = [*(values or []), F.coalesce(entry, F.array().cast("array<struct<p:string,v:double>>"))]
-    rows = long.select(*KEY, "bucket", F.inline(F.flatten(F.array(*values))))
-    rows = rows.unionByName(medians.select(*KEY, "bucket", F.lit("median").alias("p"), F.col("median").alias("v")))
-    rows = rows.unionByName(daily.select(*KEY, "bucket", F.lit("daily").alias("p"), "v"))
+    made = long.select(*KEY, "bucket", F.inline(F.flatten(F.array(*values))))
+    made = made.unionByName(medians.select(*KEY, "bucket", F.lit("median").alias("p"), F.col("median").alias("v")))
+    made = made.unionByName(daily.select(*KEY, "bucket", F.lit("daily").alias("p"), "v"))
     names = [_wide_name(prefix, dims, v) for prefix, (_, groups) in WIDE.items() for dims in groups for v in _products(dims)]
-    named = rows.select(*KEY, F.concat_ws("_", "p", "bucket").alias("name"), r6("v").alias("v"))
+    named = made.select(*KEY, F.concat_ws("_", "p", "bucket").alias("name"), r6("v").alias("v"))
     return named.groupBy(*KEY).pivot("name", names).agg(F.first("v"))
 
 
@@ -198,19 +210,32 @@ SUMS = {
 )
 def agg_distribution_groups(spark, sf):
     """Quantiles, trimmed and absolute deviations, entropy and geometric mean of readings and of sums per period, long."""
-    states = cube.written(cube.cells(readings(spark, sf), KEY, "ts", ["energy"], "energy"), "cells")
+    out = cube.by_key(readings(spark, sf), KEY, _distribution_groups)
+    names = [c for c in out.columns if c not in (*KEY, "grouping", "bucket")]
+    return out.select(*KEY, "grouping", "bucket", *[r6(c).alias(c) for c in names])
+
+
+def _distribution_groups(rows, whole):
+    by, one = [*KEY, "grouping", "bucket"], F.lit(1).cast("bigint").alias("c")
     season, part = cal.season_name(F.month(_day())), cal.time_of_day(_hour())
-    values = cube.by_bucket(states, KEY, {"all": F.lit(""), "season": season, "time_of_day": part})
+    values = {"all": F.lit(""), "season": season, "time_of_day": part}
+    if whole:
+        single = cube.single(rows, KEY, "ts", "energy")
+        groups = cube.ordered(cube.by_bucket(single, KEY, values), by)
+        # each reading goes to the sums of all its periods at once; a period is known by its parts
+        entries = [F.struct(F.lit(n).alias("grouping"), F.lit("").alias("bucket"), F.array(*[p.cast("string") for p in made()]).alias("_p")) for n, (made, _) in SUMS.items()]
+        entries.append(F.struct(F.lit("time_of_day_sum").alias("grouping"), part.alias("bucket"), F.array(_day().cast("string")).alias("_p")))
+        sums = single.select(*KEY, "x", F.inline(F.array(*entries))).groupBy(*by, "_p").agg(F.sum("x").alias("x"))
+        return cube.ordered_distribution(groups.unionByName(cube.ordered(sums, by)), by, PROBS)
+    states = cube.written(cube.cells(rows, KEY, "ts", ["energy"], "energy"), "cells")
+    values = cube.by_bucket(states, KEY, values)
     hours = states.groupBy(*KEY, "day", "hour").agg(F.sum("s_energy").alias("s"))
-    one = F.lit(1).cast("bigint").alias("c")
     for name, (periods, _) in SUMS.items():
         sums = hours.groupBy(*KEY, *[p.alias(f"_p{i}") for i, p in enumerate(periods())]).agg(F.sum("s").alias("x"))
         values = values.unionByName(sums.select(*KEY, F.lit(name).alias("grouping"), F.lit("").alias("bucket"), "x", one))
     parts = hours.groupBy(*KEY, "day", part.alias("bucket")).agg(F.sum("s").alias("x"))
     values = values.unionByName(parts.select(*KEY, F.lit("time_of_day_sum").alias("grouping"), "bucket", "x", one))
-    out = cube.distribution(cube.written(values, "values"), [*KEY, "grouping", "bucket"], PROBS)
-    names = [c for c in out.columns if c not in (*KEY, "grouping", "bucket")]
-    return out.select(*KEY, "grouping", "bucket", *[r6(c).alias(c) for c in names])
+    return cube.distribution(cube.written(values, "values"), by, PROBS)
 
 
 #: Kinds of calendar buckets: column of day and hour, text over the view, and within which other bucket the peak is sought.
@@ -237,7 +262,11 @@ WITHIN = [(k, "") for k in KINDS] + [("hour", "season"), ("time_of_day", "season
 )
 def agg_calendar_extremes(spark, sf):
     """Bucket of the largest and smallest sum for each kind of calendar bucket, overall and within seasons and weekdays."""
-    states = cube.cells(readings(spark, sf), KEY, "ts", ["energy"])
+    return cube.by_key(readings(spark, sf), KEY, _calendar_extremes)
+
+
+def _calendar_extremes(rows, whole):
+    states = cube.cells(rows, KEY, "ts", ["energy"])
     entries = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.lit(w).alias("within"), (KINDS[w][0]() if w else F.lit("")).alias("part"), KINDS[k][0]().alias("bucket")) for k, w in WITHIN])
     sums = states.withColumn("_e", F.explode(entries)).groupBy(*KEY, "_e.kind", "_e.within", "_e.part", "_e.bucket").agg(r6(F.sum("s_energy")).alias("s"))
@@ -262,15 +291,15 @@ SHAPES = {"hour": (lambda: _hour(), "hour(ts)"), "day": (lambda: F.date_format(_
 )
 def agg_bucket_shapes(spark, sf):
     """Median over the buckets of a calendar kind of each bucket's median, maximum ÷ median, and skewness."""
-    states = cube.written(cube.cells(readings(spark, sf), KEY, "ts", ["energy"], "energy"), "cells")
-    values = cube.by_bucket(states, KEY, {n: e() for n, (e, _) in SHAPES.items()})
-    by = [*KEY, "grouping", "bucket"]
-    medians = cube.rank_facts(values, by, cube.quantile_ranks({"m": 0.5})).select(*by, "hi", cube.quantile("m", 0.5).alias("med"))
-    moments = values.join(cube.written(values.groupBy(*by).agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("_m")), "means"), by)
-    d = F.col("x") - F.col("_m")
-    n = F.sum("c")
-    skew = moments.groupBy(*by).agg(
-        F.when(n > 2, F.sqrt(n * (n - 1.0)) / (n - 2) * F.try_divide(F.sum(d * d * d * F.col("c")) / n, F.pow(F.sum(d * d * F.col("c")) / n, 1.5))).alias("skew"))
+    return cube.by_key(readings(spark, sf), KEY, _bucket_shapes)
+
+
+def _bucket_shapes(rows, whole):
+    if whole:
+        counted = cube.single(rows, KEY, "ts", "energy")
+    else:
+        counted = cube.written(cube.cells(rows, KEY, "ts", ["energy"], "energy"), "cells")
+    made = cube.shapes(cube.by_bucket(counted, KEY, {n: e() for n, (e, _) in SHAPES.items()}), [*KEY, "grouping", "bucket"], whole)
     # a building has one row for each bucket of the calendar, so the exact aggregate is small
-    return medians.join(skew, by).groupBy(*KEY, F.col("grouping").alias("kind")).agg(
+    return made.groupBy(*KEY, F.col("grouping").alias("kind")).agg(
         r6(F.percentile("med", 0.5)).alias("median"), r6(F.percentile(F.try_divide("hi", "med"), 0.5)).alias("max_to_median"), r6(F.percentile("skew", 0.5)).alias("skewness"))

@@ -95,3 +95,35 @@ def test_one_read_of_the_input(spark, tmp_path):
     out = cube.roll_up(states, ["k"], groupings, ["a"]).join(cube.quantiles(cube.by_bucket(states, ["k"], groupings), ["k", "grouping", "bucket"], {"m": 0.5}), ["k", "grouping", "bucket"])
     assert path not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() > 0
+
+
+def test_groups_as_arrays_equal_bins(spark, values):
+    """Both ways through groups give the same, with null values, equal values and groups without a name."""
+    groups, df = values
+    rows = df.withColumn("x", F.explode(F.array_repeat("x", F.col("c").cast("int")))).select("g", "x", F.lit(1).cast("bigint").alias("c"))
+    odd = spark.createDataFrame([(90, 1.0, 1), (90, None, 1), (90, 4.0, 1), (90, 5.0, 1), (91, None, 1), (None, 1.0, 1), (92, None, 1), (92, None, 1), (92, 3.0, 1)], "g int, x double, c long")
+    both = rows.unionByName(odd)
+    probs = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p100": 1.0}
+    rounded = lambda d: {r.g: tuple(None if v is None else float(f"{v:.7g}") if abs(v) > 1e-7 else 0.0 for v in r) for r in d.collect()}
+    assert rounded(cube.ordered_distribution(cube.ordered(both, ["g"]), ["g"], probs)) == rounded(cube.distribution(both, ["g"], probs))
+    some = both.where("x IS NOT NULL")
+    assert rounded(cube.quantiles(some, ["g"], probs, True)) == rounded(cube.quantiles(some, ["g"], probs))
+    assert rounded(cube.shapes(some, ["g"], True).select("g", "med", "hi")) == rounded(cube.shapes(some, ["g"]).select("g", "med", "hi"))
+
+
+def test_rows_are_dealt_out_once(spark, small, monkeypatch):
+    """Nothing of the cube of ordinary keys is shuffled after its rows, and crowded keys give the same rows."""
+    from gridstrata.plans import cubes
+
+    plan = cubes.agg_distribution_groups(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("REPARTITION_BY_NUM") > 0
+    made = {n: getattr(cubes, n) for n in ("agg_distribution_groups", "agg_bucket_shapes", "agg_profile_products", "agg_calendar_extremes")}
+    rows = lambda f: sorted(map(str, f(spark, small).collect()))
+    before = {n: rows(f) for n, f in made.items()}
+    monkeypatch.setattr(cube, "WHOLE", 600)
+    whole = []
+    real = cube.spread
+    monkeypatch.setattr(cube, "spread", lambda df, *a, **k: (whole.append(df.count()), real(df, *a, **k))[1])
+    for n, f in made.items():
+        assert rows(f) == before[n], n
+    assert 0 < whole[0] < spark.read.parquet(f"{small}/lineitem.parquet").count()
