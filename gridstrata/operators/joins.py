@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.functions import geo
+from gridstrata.operators.resample import spread
 from gridstrata.session import checkpoint
 
 
@@ -38,29 +39,27 @@ def range_join(
     Bins of time come in levels, each twice as long as the one before it, from ``width`` seconds. An interval lies on the
     first level whose bins are no shorter than itself, so in one bin or two however long it is; a point looks in its bin
     of every level that has intervals. Each pair is found once, and a hot key is spread over its bins. Intervals or
-    points with a null end, stamp or key meet nothing. ``left`` keeps intervals without points: those that meet none in
-    their first bin and none in their last.
+    points with a null end, stamp or key meet nothing. ``left`` keeps intervals without points: there the points are in
+    their bin and in the one before it, so that an interval looks in its first bin alone and one outer join does it.
     """
     first, last = F.col(start), F.col(stop)
     level = _length_class(first, last, width)
     used = intervals.where(last >= first).agg(F.bit_or(F.pow(F.lit(2.0), level).cast("bigint")).alias("levels"))
     levels = used.select(F.filter(F.sequence(F.lit(0), F.lit(40)), lambda i: F.getbit("levels", i) == 1).alias("levels")).scalar()
     placed = intervals.withColumn("_level", level)
-    placed = placed.withColumns({"_first": _bin(first, F.col("_level"), width), "_last": _bin(last, F.col("_level"), width)})
     right = points.withColumn("_level", F.explode(levels))
     right = right.withColumn("_bin", _bin(F.col(ts), F.col("_level"), width))
+    if how == "left":
+        near = right.withColumn("_bin", F.explode(F.array(F.col("_bin") - 1, F.col("_bin"))))
+        near = near.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, "_level", "_bin")})
+        left = placed.withColumn("_bin", _bin(first, F.col("_level"), width))
+        same = F.col(ts).between(first, last)
+        for c in (*keys, "_level", "_bin"):
+            same &= F.col(c) == F.col(f"_k_{c}")
+        return left.join(near, same, "left").drop("_level", "_bin", *[f"_k_{c}" for c in (*keys, "_level", "_bin")])
+    placed = placed.withColumns({"_first": _bin(first, F.col("_level"), width), "_last": _bin(last, F.col("_level"), width)})
     left = placed.where(last >= first).withColumn("_bin", F.explode(F.array_distinct(F.array("_first", "_last")))).drop("_first", "_last")
-    joined = left.join(right, [*keys, "_level", "_bin"]).where(F.col(ts).between(first, last)).drop("_level", "_bin")
-    if how == "inner":
-        return joined
-    sought = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_level").alias("_at"), "_bin", F.col(ts).alias("_ts"))
-    alone = placed
-    for end in ("_first", "_last"):
-        same = (F.col("_at") == F.col("_level")) & (F.col("_bin") == F.col(end)) & F.col("_ts").between(first, last)
-        for k in keys:
-            same &= F.col(k) == F.col(f"_k_{k}")
-        alone = alone.join(sought, same, "left_anti")
-    return joined.unionByName(alone.select(*intervals.columns), allowMissingColumns=True)
+    return left.join(right, [*keys, "_level", "_bin"]).where(F.col(ts).between(first, last)).drop("_level", "_bin")
 
 
 def storm_causes(
@@ -82,6 +81,10 @@ def hours_inside(df: DataFrame, begin: str, end: str, name: str = "hour") -> Dat
     return df.withColumn(name, F.explode(F.sequence(F.date_trunc("hour", begin), ceil, F.expr("INTERVAL 1 HOUR"))))
 
 
+#: Places of sites in a cell of the first level of ``nearest``, at most.
+CELL_SITES = 16
+
+
 def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y: str, cell: float, growth: int = 4) -> DataFrame:
     """Nearest site of each point (the smallest id of several), with the squared distance.
 
@@ -89,12 +92,21 @@ def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y:
     its best site is closer than the cell size. The rest goes on with larger cells, so dense areas are settled where
     cells are small. Each level is cut off by a checkpoint; cells grow until they span the extent of points and sites,
     so that at the latest the last level settles every point with a place. Without sites there are no rows.
+
+    ``cell`` is the first size, or ever smaller ones until no cell holds more than ``CELL_SITES`` places of sites, so the
+    sites a point looks at stay as many when the sites grow in number. Of several sites in one place only the smallest id is used.
     """
     place = lambda df, *cols: df.agg(*[f(c) for c in cols for f in (F.min, F.max)]).first()
     ends = [v for v in (*place(points, x, y), *place(sites, x, y)) if v is not None]
     span = max(ends, default=0) - min(ends, default=0)
-    rest, settled, level, last = points, [], 0, False
-    s = sites.select(sid, F.col(x).alias("_sx"), F.col(y).alias("_sy"))
+    rest, settled, level, last = spread(points, pid), [], 0, False
+    s = sites.groupBy(F.col(x).alias("_sx"), F.col(y).alias("_sy")).agg(F.min(sid).alias(sid))
+    finest = span * 2.0**-30
+    while cell > finest:
+        busy = s.groupBy(F.floor(F.col("_sx") / cell), F.floor(F.col("_sy") / cell)).count().agg(F.max("count")).first()[0]
+        if (busy or 0) <= CELL_SITES:
+            break
+        cell /= growth
     while not last:
         size = cell * growth**level
         last, level = size > span, level + 1  # such a cell and its neighbours hold every site

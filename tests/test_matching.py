@@ -112,3 +112,12 @@ def test_very_long_intervals_are_in_two_bins(spark, how):
     level = joins._length_class(F.col("a"), F.col("z"), day)
     ends = [joins._bin(F.col(c), level, day) for c in ("a", "z")]
     assert a.where("z >= a").select((ends[1] - ends[0]).alias("d")).agg(F.max("d")).first()[0] <= 1
+
+
+def test_left_join_of_intervals_is_one_join(spark):
+    day = 86400
+    a = spark.createDataFrame([(1, 0, 3 * day), (1, 5 * day, 6 * day), (2, 0, day)], "k int, a long, z long").select("k", F.timestamp_seconds("a").alias("a"), F.timestamp_seconds("z").alias("z"))
+    b = spark.createDataFrame([(1, 2 * day), (1, 3 * day)], "k int, t long").select("k", F.timestamp_seconds("t").alias("t"))
+    got = joins.range_join(a, b, ["k"], "a", "z", "t", day, "left")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((r.k, r.t is not None) for r in got.collect()) == [(1, False), (1, True), (1, True), (2, False)]
