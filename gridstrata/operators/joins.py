@@ -128,6 +128,27 @@ def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y:
     return points.join(found, pid).select(*points.columns, F.col(f"_b.{sid}").alias(sid), F.col("_b.d2").alias("d2"))
 
 
+#: Rows of the first table in a cell that one task compares with the rows around them, about.
+CELL_ROWS = 4096
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """Rows of both tables whose keys agree and whose cells are the same or touch, without the cells.
+
+    Pairs outgrow the rows by far, so they are made where the cells are dealt out to: in all shuffle tasks and never by a
+    broadcast, which would make them in the few tasks that read the first table. Cells with more than ``CELL_ROWS`` rows
+    of the first table are cut in parts, and what lies around them goes to each part.
+    """
+    on, tasks = [*keys, *cells], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_parts"))
+    for c in cells:
+        right = right.withColumn(c, around(F.col(c)))
+    right = right.join(parts, on).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+    rows = left.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(*left.columns), "_parts")).drop("_parts")
+    rows = rows.repartition(tasks, *on, "_part")
+    return rows.hint("merge").join(right, [*on, "_part"]).drop(*cells, "_part")
+
+
 def within_km(
     a: DataFrame, b: DataFrame, lat: str, lon: str, km: float, suffix: str = "_2", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -140,10 +161,8 @@ def within_km(
     right = b.withColumnsRenamed({c: c + suffix for c in b.columns if c not in keys}).withColumns(
         geo.sphere_cells(lat + suffix, lon + suffix, chord)
     )
-    for c in ("cx", "cy", "cz"):
-        right = right.withColumn(c, around(F.col(c)))
-    pairs = left.join(right, [*keys, "cx", "cy", "cz"]).withColumn("km", geo.haversine_km(lat, lon, lat + suffix, lon + suffix))
-    return pairs.where(F.col("km") <= km).drop("cx", "cy", "cz")
+    pairs = _meet(left, right, keys, ("cx", "cy", "cz")).withColumn("km", geo.haversine_km(lat, lon, lat + suffix, lon + suffix))
+    return pairs.where(F.col("km") <= km)
 
 
 def within_distance(
@@ -154,10 +173,8 @@ def within_distance(
     right = b.withColumnsRenamed({c: c + suffix for c in b.columns if c not in keys}).withColumns(
         {"_cx": F.floor(F.col(x + suffix) / radius), "_cy": F.floor(F.col(y + suffix) / radius)}
     )
-    for c in ("_cx", "_cy"):
-        right = right.withColumn(c, around(F.col(c)))
-    pairs = left.join(right, [*keys, "_cx", "_cy"]).withColumn("d2", geo.squared_distance(x, y, x + suffix, y + suffix))
-    return pairs.where(F.col("d2") <= radius * radius).drop("_cx", "_cy")
+    pairs = _meet(left, right, keys, ("_cx", "_cy")).withColumn("d2", geo.squared_distance(x, y, x + suffix, y + suffix))
+    return pairs.where(F.col("d2") <= radius * radius)
 
 
 def inside_ring(x: Column, y: Column, ring: Column) -> Column:
