@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridstrata.llm import vocab
 from gridstrata.llm.common import as_text
-from gridstrata.llm.encode import word_ids
+from gridstrata.llm.encode import texts_ids
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
@@ -39,12 +39,13 @@ class Packer:
         """The fill level at which a piece of this size leaves the smallest sum of squares; ties go to the fullest."""
         w, n = self.window, self.count
         # moving one window from level h to h + size changes the sum by 2 · (n[h + size] − n[h]) + 2; a full one leaves
-        fits = n[: w - size + 1]
-        change = 2 * (n[size : w + 1] - fits) + 2
-        change[0] += 2 * fits[0] - 1  # a new window leaves no level
-        change[w - size] = 1 - 2 * fits[w - size] if size < w else 0
-        change[1:][fits[1:] == 0] = np.iinfo(np.int64).max
-        return int(w - size - np.argmin(change[::-1]))
+        levels = np.flatnonzero(n[1 : w - size + 1]) + 1
+        if not len(levels):
+            return 0
+        change = 2 * (n[levels + size] - n[levels]) + 2
+        change[-1] -= levels[-1] == w - size
+        best = len(levels) - 1 - int(np.argmin(change[::-1]))
+        return int(levels[best]) if change[best] <= 2 * n[size] + 1 else 0  # a new window leaves no level
 
     def add(self, piece: Piece, size: int) -> list[Piece] | None:
         h = self.level(size)
@@ -108,8 +109,8 @@ def _pack(path: str, window: int):
             return batch
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1)).to_pylist()):
-                ids = word_ids(text, path) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), texts_ids(as_text(batch.column(1)).to_pylist(), path)):
+                ids += end
                 total = len(ids) // 4
                 whole = total - total % window
                 for at in range(0, whole, window):

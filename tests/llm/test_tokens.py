@@ -28,6 +28,17 @@ def test_word_ids_equal_the_library(odd):
     assert [np.frombuffer(encode.word_ids(t, WORD), "<u4").tolist() for t in odd] == want
 
 
+def test_ids_of_texts_together_equal_the_library(odd, monkeypatch):
+    words = ["a", "ab.", "It's", "A'", "b,", "Zürich", "x9", "<|endoftext|>.", "endoftext|", "q\x7f", "\x00", "日本", "Ab-", "$$"]
+    rng = random.Random(3)
+    texts = odd + [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(500)]
+    want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    for size in (1, 200, 1 << 22):
+        monkeypatch.setattr(encode, "AT_ONCE", size)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encode.texts_ids(iter(texts), WORD)] == want
+    assert list(encode.texts_ids([], WORD)) == []
+
+
 def test_counts_equal_the_library(make, odd, hard):
     rows = hard + list(enumerate(odd, 100))
     tok = Tokenizer.from_file(WORD)
