@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +41,24 @@ def chord_of_km(km: float) -> float:
     return 2 * math.sin(min(km / EARTH_KM, math.pi) / 2)
 
 
+def within_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, km: float) -> np.ndarray:
+    """Which places of the first list are within ``km`` of which of the second, as a matrix, in degrees.
+
+    The angle's cosine is a product of unit vectors; where it is so close to the limit that rounding may decide, the
+    haversine formula does, as in ``haversine_km``.
+    """
+    p1, l1, p2, l2 = (np.radians(np.asarray(v, float)) for v in (lat1, lon1, lat2, lon2))
+    unit = lambda p, l: np.stack([np.cos(p) * np.cos(l), np.cos(p) * np.sin(l), np.sin(p)], 1)
+    over = unit(p1, l1) @ unit(p2, l2).T
+    over -= math.cos(min(km / EARTH_KM, math.pi))
+    near = over > 0
+    i, j = np.nonzero(np.abs(over, out=over) < 1e-14)
+    if len(i):
+        a = np.sin((p2[j] - p1[i]) / 2) ** 2 + np.cos(p1[i]) * np.cos(p2[j]) * np.sin((l2[j] - l1[i]) / 2) ** 2
+        near[i, j] = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= km
+    return near
+
+
 def segment_distance(px, py, ax, ay, bx, by) -> Column:
     """Distance of a point to a line segment."""
     px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))

@@ -6,10 +6,13 @@ are not hinted; the engine broadcasts a side only when its measured size is unde
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gridstrata.functions import geo
 from gridstrata.operators.resample import spread
@@ -132,32 +135,47 @@ def nearest(points: DataFrame, pid: str, sites: DataFrame, sid: str, x: str, y:
 CELL_ROWS = 4096
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], cells: Sequence[str]) -> DataFrame:
-    """Rows of both tables whose keys agree and whose cells are the same or touch, without the cells.
+def _deal(left: DataFrame, right: DataFrame, on: Sequence[str], cells: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of both tables with the ``_part`` of a cell where they meet; those of the second go to the cells around too.
 
-    Pairs outgrow the rows by far, so they are made where the cells are dealt out to: in all shuffle tasks and never by a
-    broadcast, which would make them in the few tasks that read the first table. Cells with more than ``CELL_ROWS`` rows
-    of the first table are cut in parts, and what lies around them goes to each part.
+    Cells with more than ``CELL_ROWS`` rows of the first table are cut in parts, and what lies around them goes to each part.
     """
-    on, tasks = [*keys, *cells], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("_parts"))
     for c in cells:
         right = right.withColumn(c, around(F.col(c)))
     right = right.join(parts, on).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
-    rows = left.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(*left.columns), "_parts")).drop("_parts")
+    return left.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(*left.columns), "_parts")).drop("_parts"), right
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], cells: Sequence[str]) -> DataFrame:
+    """Rows of both tables whose keys agree and whose cells are the same or touch, without the cells.
+
+    Pairs outgrow the rows by far, so they are made where the cells are dealt out to: in all shuffle tasks and never by a
+    broadcast, which would make them in the few tasks that read the first table.
+    """
+    on, tasks = [*keys, *cells], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, right = _deal(left, right, on, cells)
     rows = rows.repartition(tasks, *on, "_part")
     return rows.hint("merge").join(right, [*on, "_part"]).drop(*cells, "_part")
 
 
 def within_km(
-    a: DataFrame, b: DataFrame, lat: str, lon: str, km: float, suffix: str = "_2", keys: Sequence[str] = ()
+    a: DataFrame, b: DataFrame, lat: str, lon: str, km: float, suffix: str = "_2", keys: Sequence[str] = (),
+    facts: DataFrame | None = None, on: str = "", by: str = "", total: str = "",
 ) -> DataFrame:
     """Pairs of rows of two point tables closer than ``km`` on the sphere; the second one's columns get the suffix.
 
     Rows also have to agree on ``keys``, which keep their names.
+
+    With ``facts`` the pairs are joined to the facts of the second row and added up where they are made, so that no pair
+    leaves its task: for each row of ``a`` and value of ``by`` the number ``n`` of facts with the same ``on`` as a row of
+    ``b`` in reach, and the sum of their ``total`` as double, nulls left out. Rows without such facts are not in the
+    result. ``by`` is to have few values, like months: a task holds a number for each of them and ``CELL_ROWS`` rows.
     """
     chord = geo.chord_of_km(km)
     left = a.withColumns(geo.sphere_cells(lat, lon, chord))
+    if facts is not None:
+        return _totals_in_reach(left, a.columns, b.withColumns(geo.sphere_cells(lat, lon, chord)), lat, lon, km, keys, facts, on, by, total)
     right = b.withColumnsRenamed({c: c + suffix for c in b.columns if c not in keys}).withColumns(
         geo.sphere_cells(lat + suffix, lon + suffix, chord)
     )
@@ -165,6 +183,104 @@ def within_km(
     return pairs.where(F.col("km") <= km)
 
 
+#: Rows of the second table that are compared at once with those of a part.
+_AT_ONCE = 256
+
+
+class _Part:
+    """Rows of the first table in one part and, by the values of ``by``, what the rows around them brought so far."""
+
+    def __init__(self, km: float, labels: list):
+        self.km, self.labels, self.rows, self.lat, self.lon = km, labels, [], [], []
+        self.sums = None
+
+    def first(self, batch: pa.RecordBatch) -> None:
+        self.rows.append(batch.column("_row"))
+        self.lat.append(batch.column("_lat").to_numpy(zero_copy_only=False))
+        self.lon.append(batch.column("_lon").to_numpy(zero_copy_only=False))
+
+    def around(self, batch: pa.RecordBatch, codes: dict) -> None:
+        if not self.rows:  # no row of its cell fell to this part
+            return
+        if self.sums is None:
+            self.lat, self.lon = np.concatenate(self.lat), np.concatenate(self.lon)
+            self.sums = np.zeros((2, len(self.lat), 0))
+        for at in range(0, batch.num_rows, _AT_ONCE):
+            own = batch.slice(at, _AT_ONCE)
+            lat, lon = (own.column(c).to_numpy(zero_copy_only=False) for c in ("_lat", "_lon"))
+            near = geo.within_km(self.lat, self.lon, lat, lon, self.km)
+            met = near.any(axis=0)
+            if not met.any():
+                continue
+            fact = np.repeat(np.arange(len(lat)), own.column("_by").value_lengths().to_numpy())
+            by = own.column("_by").flatten().dictionary_encode(null_encoding="encode")
+            new = [codes.setdefault(v, len(codes)) for v in by.dictionary.to_pylist()]
+            self.labels.extend(list(codes)[len(self.labels) :])
+            total = own.column("_total").flatten().cast(pa.float64(), safe=False).fill_null(0).to_numpy()
+            self._add(near, met, fact, by.indices.to_numpy(), np.array(new), total)
+
+    def _add(self, near: np.ndarray, met: np.ndarray, fact: np.ndarray, by: np.ndarray, codes: np.ndarray, total: np.ndarray) -> None:
+        """Add facts ``total``, each of the row ``fact`` and the value ``codes[by]``, to the rows that are near."""
+        if len(self.labels) > self.sums.shape[2]:
+            self.sums = np.pad(self.sums, ((0, 0), (0, 0), (0, len(self.labels) - self.sums.shape[2])))
+        size, fine, place = (len(met), len(codes)), np.isfinite(total), fact * len(codes) + by
+        reach = near[:, met].astype(float)
+        for sums, weights in zip(self.sums, (None, np.where(fine, total, 0.0))):
+            brought = np.bincount(place, weights, size[0] * size[1]).reshape(size)[met].astype(float)
+            sums[:, codes] += reach @ brought
+        for f in np.flatnonzero(~fine):  # no product with zero is to make these NaN where they are out of reach
+            self.sums[1, near[:, fact[f]], codes[by[f]]] += total[f]
+
+    def out(self, names: Sequence[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.sums is None:
+            return
+        rows, labels = pa.concat_arrays(self.rows), pa.array(self.labels, kind)
+        for at in range(0, len(rows), 256):
+            row, label = np.nonzero(self.sums[0, at : at + 256])
+            n, total = self.sums[:, at + row, label]
+            columns = [*rows.take(pa.array(at + row)).flatten(), labels.take(pa.array(label)), pa.array(n.astype(np.int64)), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _count_parts(km: float, names: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, name, labels, codes = None, None, [], {}
+        for batch in batches:
+            kind = batch.schema.field("_by").type.value_type
+            groups = batch.column("_group").dictionary_encode()
+            key = 2 * groups.indices.to_numpy().astype(np.int64) + batch.column("_around").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for lo, hi in zip(edges, edges[1:]):
+                own = batch.slice(lo, hi - lo)
+                if (here := own.column("_group")[0].as_py()) != name:
+                    if part:
+                        yield from part.out(names, kind)
+                    part, name = _Part(km, labels), here
+                if key[lo] % 2:
+                    part.around(own, codes)
+                else:
+                    part.first(own)
+        if part:
+            yield from part.out(names, kind)
+
+    return run
+
+
+def _totals_in_reach(
+    left: DataFrame, names: Sequence[str], right: DataFrame, lat: str, lon: str, km: float, keys: Sequence[str], facts: DataFrame, on: str, by: str, total: str
+) -> DataFrame:
+    """``within_km`` with facts: in each task the rows of a part come first, then the rows around it with their facts."""
+    meet = [*keys, "cx", "cy", "cz"]
+    rows, near = _deal(left, right.select(*dict.fromkeys([on, lat, lon, *meet])), meet, ("cx", "cy", "cz"))
+    lists = facts.groupBy(on).agg(F.collect_list(F.struct(F.col(by).alias("by"), F.col(total).alias("total"))).alias("_f"))
+    near = near.join(lists.select(on, F.col("_f.by").alias("_by"), F.col("_f.total").alias("_total")), on)
+    place = [F.to_json(F.struct(*meet, "_part")).alias("_group"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")]
+    first = rows.select(*place, F.lit(0).alias("_around"), F.struct(*names).alias("_row"))
+    both = first.unionByName(near.select(*place, F.lit(1).alias("_around"), "_by", "_total"), allowMissingColumns=True)
+    schema = StructType([*left.select(*names).schema, facts.select(by).schema[0], StructField("n", LongType()), StructField("total", DoubleType())])
+    return spread(both, "_group").sortWithinPartitions("_group", "_around").mapInArrow(_count_parts(km, schema.names), schema)
+
+
 def within_distance(
     a: DataFrame, b: DataFrame, x: str, y: str, radius: float, suffix: str = "_2", keys: Sequence[str] = ()
 ) -> DataFrame:

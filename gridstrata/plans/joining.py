@@ -153,12 +153,13 @@ def join_radius_haversine(spark, sf):
         F.col("s_suppkey").alias("county"), (25 + ((F.col("s_suppkey") * 53) % 241) / 10.0).alias("lat"),
         (-120 + ((F.col("s_suppkey") * 29) % 553) / 10.0).alias("lon"),
     )
-    pairs = joins.within_km(places, places, "lat", "lon", 300.0).select("county", F.col("county_2").alias("other"))
     facts = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("other"), F.date_trunc("month", "l_shipdate").alias("month")
     ).agg(F.sum("l_quantity").alias("q"))
-    high = F.when(F.col("q") >= 200, 1.0).otherwise(0.0)
-    return pairs.join(facts, "other").groupBy("county", "month").agg(r6(F.avg(high)).alias("share"), F.count(F.lit(1)).alias("n"))
+    high = facts.select("other", "month", F.when(F.col("q") >= 200, 1).otherwise(0).cast("tinyint").alias("high"))
+    others = places.withColumnRenamed("county", "other")
+    near = joins.within_km(places, others, "lat", "lon", 300.0, facts=high, on="other", by="month", total="high")
+    return near.groupBy("county", "month").agg(r6(F.sum("total") / F.sum("n")).alias("share"), F.sum("n").alias("n"))
 
 
 RING = """SELECT n_nationkey AS zone, [{'x': cx - 9, 'y': cy - 5}, {'x': cx + 3, 'y': cy - 9}, {'x': cx + 9, 'y': cy + 2}, {'x': cx, 'y': cy + 1}, {'x': cx - 2, 'y': cy + 9}] AS ring
