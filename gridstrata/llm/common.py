@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from gridstrata.session import checkpoint
 from gridstrata.sources.tables import table
 
-__all__ = ["Memo", "as_text", "checkpoint", "list_column", "spread", "table", "task_block"]
+__all__ = ["Memo", "as_text", "checkpoint", "drop_kept", "kept", "list_column", "spread", "table", "task_block"]
 
 
 class Memo(dict):
@@ -33,6 +34,23 @@ class Memo(dict):
         return value
 
 
+_KEPT: list = []
+
+
+def kept(make: Callable) -> Callable:
+    """``lru_cache`` for large tables that a Python worker keeps from task to task, until ``drop_kept``."""
+    _KEPT.append(lru_cache(maxsize=2)(make))
+    return _KEPT[-1]
+
+
+def drop_kept() -> None:
+    """Drop the tables that tasks of an earlier stage left: Spark hands its Python workers on from stage to stage."""
+    if any(tables.cache_info().currsize for tables in _KEPT):
+        for tables in _KEPT:
+            tables.cache_clear()
+        pa.default_memory_pool().release_unused()
+
+
 def as_text(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One Arrow string array without nulls: null texts are empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from gridstrata.llm import vocab
-from gridstrata.llm.common import Memo
+from gridstrata.llm.common import Memo, kept
 
 #: Characters of texts that are encoded at once.
 AT_ONCE = 1 << 22
@@ -19,7 +18,7 @@ AT_ONCE = 1 << 22
 _SIMPLE = re.compile("[A-Za-z]*[!-~]?\\Z")
 
 
-@lru_cache(maxsize=2)
+@kept
 def _memos(path: str) -> Memo:
     tok, bare, special = vocab.tokenizer(path), vocab.bare(path), vocab.specials(path)
     pack = lambda ids: np.array(ids, "<u4").tobytes()

@@ -18,30 +18,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstrata.llm import labelled, words
-from gridstrata.llm.common import as_text
+from gridstrata.llm.common import as_text, drop_kept
 
 BUCKETS = 8192
 DIM = 64
 FOLDS, LEFT, CUT = 4, 2, 0.7
 _NONZERO = 4
 _STRIPE = 256
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _DOCS = 256
 _SHAPES = 5 * 7 * 2 * 2
 
 _rng = np.random.default_rng(33)
 _PLACE = np.array([_rng.choice(DIM, _NONZERO, replace=False) for _ in range(BUCKETS + _SHAPES)])
-_SIGN = _rng.choice([-1, 1], (BUCKETS + _SHAPES, _NONZERO))
+_SIGN = _rng.choice([-1, 1], (BUCKETS + _SHAPES, _NONZERO)).astype(float)
 _INDEX = np.zeros((BUCKETS + _SHAPES, DIM), np.float32)
 np.put_along_axis(_INDEX, _PLACE, _SIGN.astype(np.float32), 1)
 
-_CLASS = np.full(256, 3, np.int64)  # symbols
+_CLASS = np.full(256, 3, np.uint8)  # symbols
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 4
 _END = np.full(256, 4, np.int64)
 _END[97:123], _END[65:91], _END[48:58], _END[128:] = 0, 1, 2, 6
 _END[[44, 46, 58, 59]], _END[33] = 3, 5
 
 
+def _inside(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each word are hit."""
+    total = np.zeros(len(hit) + 1, np.int32)  # an Arrow string is shorter than 2^31
+    np.cumsum(hit, out=total[1:])
+    return total[ends] - total[starts]
+
+
 def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of texts: first text, words per text, bucket and shape of each word."""
     data, places = words.buffers(texts)
@@ -54,13 +61,12 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         shape = np.zeros(0, np.int64)
         if len(starts):
             kind = _CLASS[own]
-            total = lambda hit: np.concatenate([[0], np.cumsum(hit)])
-            upper, lower = (t[ends] - t[starts] for t in (total(kind == 1), total(kind == 0)))
+            upper, lower = _inside(kind == 1, starts, ends), _inside(kind == 0, starts, ends)
             again = np.zeros(len(h), bool)
             again[1:] = h[1:] == h[:-1]
             first = np.cumsum(counts) - counts
             again[first[counts > 0]] = False
-            shape = ((kind[starts] * 7 + _END[own[ends - 1]]) * 2 + ((upper > 1) & (lower == 0))) * 2 + again
+            shape = ((kind[starts].astype(np.int64) * 7 + _END[own[ends - 1]]) * 2 + ((upper > 1) & (lower == 0))) * 2 + again
         yield at, counts, (h % np.uint64(BUCKETS)).astype(np.int64), shape
         at = to
 
@@ -75,13 +81,13 @@ def contexts(texts: pa.Array, table: np.ndarray) -> None:
             b = pair[lo : lo + _CHUNK]
             a = b - 1
             for word, near in ((a, b), (b, a)):
-                row = bucket[word] * DIM
+                row = (bucket[word] * DIM)[:, None]
                 for names in (bucket[near], BUCKETS + shape[near]):
-                    for k in range(_NONZERO):
-                        table += np.bincount(row + _PLACE[names, k], _SIGN[names, k], BUCKETS * DIM).astype(np.int64).reshape(BUCKETS, DIM) if len(row) else 0
+                    table += np.bincount((row + _PLACE[names]).ravel(), _SIGN[names].ravel(), BUCKETS * DIM).astype(np.int64).reshape(BUCKETS, DIM)
 
 
 def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_kept()
     table = np.zeros((BUCKETS, DIM), np.int64)
     for batch in batches:
         contexts(as_text(batch.column(0)), table)
@@ -125,6 +131,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
 
 def _features(vectors):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             rows = pooled(as_text(batch.column(0)), vectors.value)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["label", "x"])
@@ -134,6 +141,7 @@ def _features(vectors):
 
 def _scores(model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         vectors, net = model.value
         for batch in batches:
             x = pooled(as_text(batch.column(batch.num_columns - 1)), vectors)

@@ -14,7 +14,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.default_rng(20)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

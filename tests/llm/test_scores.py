@@ -70,6 +70,27 @@ def test_pooled_vectors_do_not_depend_on_slices():
     assert np.array_equal(table_, again) and table_.any()
 
 
+def test_quality_tasks_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gridstrata.llm import encode, packing, vocab
+
+    texts = pa.array(["Some words, to COUNT 12 of them; and others!  " * 1000] * 90)  # one slice of 4 MB
+    table_ = np.zeros((quality.BUCKETS, quality.DIM), np.int64)
+    tracemalloc.start()
+    quality.contexts(texts, table_)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 120
+    path = vocab.vocabulary(packing.VOCABULARY)  # what packing keeps in a worker goes when the worker turns to quality
+    encode.word_ids("some words", path)
+    assert encode._memos.cache_info().currsize
+    list(quality._sum_contexts(iter([pa.RecordBatch.from_arrays([pa.array(["some words"])], ["text"])])))
+    assert not encode._memos.cache_info().currsize
+
+
 def test_letter_counts_equal_a_loop():
     import pyarrow as pa
 
