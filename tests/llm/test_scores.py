@@ -347,3 +347,13 @@ def test_a_cluster_without_a_key_draws_one(base, make, monkeypatch):
     assert got[1] not in (rows[0][1], plain[1]) and got[3] == "again " + got[1].removeprefix("write to ") and (got[2], got[4]) == (None, "")
     assert {r.rest.doc_id: r.text for r in pii.pseudonymise(hidden, back=True).collect()} == dict(rows)
     assert list(pii._DRAWN) == [base.sparkContext.applicationId] and pii.KEY not in pii._DRAWN.values()
+
+
+def test_op5_runs_whole_on_a_cluster_without_a_key(base, small, monkeypatch):
+    run = QUERIES["op5_pii_feistel"]
+    here = {r.doc_id: r for r in run(base, small).collect()}
+    monkeypatch.setattr(base.sparkContext, "master", "spark://driver:7077")
+    monkeypatch.setattr(pii, "_DRAWN", {})
+    with pytest.warns(UserWarning, match=pii.SETTING):
+        there = {r.doc_id: r for r in run(base, small).collect()}
+    assert there.keys() == here.keys() and there != here
