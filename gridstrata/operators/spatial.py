@@ -140,7 +140,8 @@ def zonal_stats(cells: DataFrame, zones: DataFrame, zid: str, x: str, y: str, ra
 
     Cells are summed up by place and by squares whose side is the radius, its half, and so on. A square inside the circle
     counts as a whole, one on its edge is cut in four; only in the smallest squares places are compared one by one. The
-    smallest ones hold few places, so the work of a zone grows with the root of the density.
+    smallest ones hold few places, so the work of a zone grows with the root of the density. Squares of zones meet those of
+    cells in all shuffle tasks: their estimated size is that of the zones, so the engine would broadcast them.
     """
     state = [F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")]
     at = lambda c, size: F.floor(F.col(c) / size)
@@ -164,13 +165,13 @@ def zonal_stats(cells: DataFrame, zones: DataFrame, zid: str, x: str, y: str, ra
             near += F.pow(F.greatest(low, -high, F.lit(0.0)), F.lit(2.0))
         known = edge.where(near <= radius * radius * (1 + 1e-9)).withColumn("_in", far <= radius * radius * (1 - 1e-9))
         held = places.groupBy(at("_px", size).alias("_cx"), at("_py", size).alias("_cy")).agg(*state)
-        found.append(known.where("_in").join(held, ["_cx", "_cy"]).select(zid, "n", "s", "low", "high"))
+        found.append(known.where("_in").hint("merge").join(held, ["_cx", "_cy"]).select(zid, "n", "s", "low", "high"))
         edge = known.where("not _in").drop("_in")
         if level < depth:
             edge = edge.withColumn("_cx", F.explode(F.array(F.col("_cx") * 2, F.col("_cx") * 2 + 1)))
             edge = edge.withColumn("_cy", F.explode(F.array(F.col("_cy") * 2, F.col("_cy") * 2 + 1)))
     single = places.withColumns({"_cx": at("_px", size), "_cy": at("_py", size)})
-    single = edge.join(single, ["_cx", "_cy"]).where(geo.squared_distance("_px", "_py", "_x", "_y") <= radius * radius)
+    single = edge.hint("merge").join(single, ["_cx", "_cy"]).where(geo.squared_distance("_px", "_py", "_x", "_y") <= radius * radius)
     found.append(single.select(zid, "n", "s", "low", "high"))
     sums = reduce(DataFrame.unionByName, found).groupBy(zid).agg(*state)
     stats = sums.select(zid, "n", F.try_divide("s", "n").alias("mean"), "low", "high")

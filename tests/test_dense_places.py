@@ -46,3 +46,12 @@ def test_zonal_stats_of_a_crowd(spark, crowd, monkeypatch):
                 assert got[sid].mean == pytest.approx(math.fsum(near) / len(near), abs=1e-9) and (got[sid].low, got[sid].high) == (min(near), max(near))
             else:
                 assert got[sid].mean is None and got[sid].low is None
+
+
+def test_squares_of_zones_pass_by_the_driver(spark, crowd):
+    """A few zones become many squares; a broadcast would bring them all to the driver."""
+    _, df = crowd
+    z = spark.range(2).selectExpr("id AS sid", "id / 2.0D AS x", "0.5D AS y")  # of a size that the engine knows
+    plan = spatial.zonal_stats(df, z, "sid", "x", "y", 0.25, "v")._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join " in line and "_cx" in line]
+    assert len(met) > 2 and all("SortMergeJoin" in line for line in met), met
