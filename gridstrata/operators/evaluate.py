@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import exp
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstrata.functions.arrays import let
 from gridstrata.operators.blocks import DAY, over_blocks
+from gridstrata.operators.cube import by_key
 from gridstrata.operators.joins import range_join
 from gridstrata.operators.matching import greedy
 from gridstrata.operators.ranks import attach, exact_quantiles, value_ranks
@@ -307,26 +309,40 @@ def dissimilarity(a: Column, b: Column, n: int) -> Column:
 def distinct_candidates(df: DataFrame, sample: str, rank: str, sources: str, tau: float, n_max: int, scale: tuple[float, float, float]) -> DataFrame:
     """Candidates kept in order when farther than ``tau`` from all kept before, at most ``n_max`` per sample.
 
-    Round r keeps the first candidate left of each sample and drops those near it, which is the sequential rule; a
-    sample of any size is worked on by many tasks.
+    Round r keeps the first candidate left of each sample and drops those near it, which is the sequential rule. Samples are
+    dealt out once, and rounds are running windows over one sort; a sample with more than ``cube.WHOLE`` rows is worked on by
+    many tasks, round by round. All rows with the rank of a kept one are kept; rows without sample or rank never are.
     """
     scaled = F.array_sort(
         F.transform(sources, lambda s: F.struct(*[(s[k] / f).alias(k) for k, f in zip(("x", "y", "q"), scale)]))
     )
-    left = df.withColumn("_s", scaled)
-    kept = []
-    for _ in range(n_max):
-        first = left.groupBy(sample).agg(F.min(F.struct(rank, "_s")).alias("_k"))
-        first = checkpoint(first.select(sample, F.col(f"_k.{rank}").alias(rank), F.col("_k._s").alias("_ks")))
-        kept.append(first.select(sample, rank))
-        near = left.join(first.select(sample, "_ks"), sample)
-        left = checkpoint(near.where(dissimilarity(F.col("_s"), F.col("_ks"), n_max) > tau).drop("_ks"))
-        if left.isEmpty():
-            break
-    picks = kept[0]
-    for k in kept[1:]:
-        picks = picks.unionByName(k)
-    return df.join(picks, [sample, rank], "left_semi")
+    far = lambda kept: dissimilarity(F.col("_s"), kept, n_max) > tau
+
+    def walked(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(sample).orderBy(rank)  # up to the current rank and all rows that share it
+        rows = rows.withColumns({"_s": scaled, "_left": F.lit(True), "_kept": F.lit(False)})
+        for _ in range(n_max):
+            rows = rows.withColumn("_k", F.min(F.when(F.col("_left"), F.struct(F.col(rank).alias("rank"), "_s"))).over(order))
+            rows = rows.withColumns({
+                "_left": F.coalesce(F.when(F.col("_left"), far(F.col("_k._s"))), F.lit(False)),
+                "_kept": F.col("_kept") | F.coalesce(F.col(rank) == F.col("_k.rank"), F.lit(False)),
+            }).drop("_k")
+        return rows.where("_kept").select(*df.columns)
+
+    def in_rounds(rows: DataFrame) -> DataFrame:
+        left = rows.select(sample, rank, scaled.alias("_s"))
+        kept = []
+        for _ in range(n_max):
+            first = left.groupBy(sample).agg(F.min(F.struct(rank, "_s")).alias("_k"))
+            first = checkpoint(first.select(sample, F.col(f"_k.{rank}").alias(rank), F.col("_k._s").alias("_ks")))
+            kept.append(first.select(sample, rank))
+            near = left.join(first.select(sample, "_ks"), sample)
+            left = checkpoint(near.where(far(F.col("_ks"))).drop("_ks"))
+            if left.isEmpty():
+                break
+        return rows.join(reduce(DataFrame.unionByName, kept), [sample, rank], "left_semi")
+
+    return by_key(df.where(F.col(sample).isNotNull()), [sample], lambda rows, whole: walked(rows) if whole else in_rounds(rows))
 
 
 def candidate_score(kept: DataFrame, sample: str, loss: str, n_max: int, weight: float) -> DataFrame:

@@ -408,12 +408,14 @@ def score_trimmed_mean(spark, sf):
 
 
 def candidates(spark, sf):
+    """Repeated candidates are dropped among plain numbers, dealt out by sample; their sources are made after that."""
+    plain = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("sample"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rank"),
+        "l_partkey", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("loss"),
+    ).repartition("sample").dropDuplicates(["sample", "rank"])
     one = F.struct((F.col("l_partkey") % 10).cast("double").alias("x"), F.col("l_quantity").alias("y"), F.col("l_discount").alias("q"))
     two = F.struct((F.col("l_partkey") % 7).cast("double").alias("x"), (F.col("l_quantity") / 2).alias("y"), F.col("l_tax").alias("q"))
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("sample"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rank"), F.array(one, two).alias("sources"),
-        F.col("l_extendedprice").alias("loss"),
-    ).dropDuplicates(["sample", "rank"])
+    return plain.select("sample", "rank", F.array(one, two).alias("sources"), "loss")
 
 
 @query("distinct_candidates")

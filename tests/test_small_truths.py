@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridstrata.functions import calendar as cal
-from gridstrata.operators import cluster, evaluate, graph, joins, peaks, splits
+from gridstrata.operators import cluster, cube, evaluate, graph, joins, peaks, splits
 
 
 def test_components(spark):
@@ -124,6 +124,28 @@ def test_distinct_candidates(spark):
         assert sorted(r["rank"] for r in out if r["sample"] == s) == sequential_distinct(cs, 0.5, 3)
 
 
+def test_distinct_candidates_are_walked_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cands = {s: [(i, [tuple(map(float, v)) for v in rng.uniform(0, 1, (2, 3))]) for i in range(3 + 6 * s)] for s in range(5)}
+    rows = [(s, i, [{"x": a, "y": b, "q": c} for a, b, c in src], k) for s, cs in cands.items() for i, src in cs for k in range(1 + (i % 3 == 0))]  # some come twice
+    at = lambda v: [{"x": v, "y": v, "q": v}]
+    # no sample, no rank (takes a round and stays away), one rank twice: both rows go with the one that is kept
+    rows += [(None, 1, at(0.0), 0), (7, None, at(0.0), 0), (7, 1, at(0.1), 1), (7, 2, at(9.0), 2), (7, 2, at(0.2), 3), (7, 3, at(9.1), 4), (7, 4, at(20.0), 5), (7, 5, at(30.0), 6)]
+    df = spark.createDataFrame(rows, "sample int, rank int, sources array<struct<x:double,y:double,q:double>>, n int")
+    written = []
+    monkeypatch.setattr(evaluate, "checkpoint", lambda d, real=evaluate.checkpoint: (written.append(d), real(d))[1])
+    for whole in (cube.WHOLE, 10, 0):  # all samples in one pass, the larger ones in rounds, all in rounds
+        monkeypatch.setattr(cube, "WHOLE", whole)
+        out = evaluate.distinct_candidates(df, "sample", "rank", "sources", 0.5, 3, (1.0, 1.0, 1.0))
+        assert out.columns == df.columns
+        got = out.collect()
+        assert (len(written) == 0) == (whole > 10)  # nothing that is left is written
+        for s, cs in cands.items():
+            keep = sequential_distinct(cs, 0.5, 3)
+            assert sorted((r["rank"], r["n"]) for r in got if r["sample"] == s) == sorted((i, k) for i in keep for k in range(1 + (i % 3 == 0)))
+        assert sorted((r["rank"], r["n"]) for r in got if r["sample"] == 7) == [(2, 2), (2, 3), (4, 5)] and not [r for r in got if r["sample"] is None]
+
+
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(2000).select("id", F.lit("a").alias("g"), (F.col("id") % 10).cast("double").alias("e"))
     r = evaluate.bootstrap(df, ["g"], "id", F.col("e")).first()
