@@ -184,6 +184,10 @@ def sample_points(points: DataFrame, x: str, y: str, raster: DataFrame, size: fl
     return points.withColumns(cell).join(raster, ["col", "row"], "left")
 
 
+#: Lines and columns of a tile of ``common_grid``.
+TILE = (64, 4096)
+
+
 def common_grid(rasters: Sequence[tuple[DataFrame, float]], size: float) -> DataFrame:
     """Cells of ``size`` over the intersection of the rasters' extents; each raster is (cells with col and row, its size)."""
     ends = None
@@ -194,10 +198,15 @@ def common_grid(rasters: Sequence[tuple[DataFrame, float]], size: float) -> Data
         )
         ends = e if ends is None else ends.unionByName(e)
     box = ends.agg(F.max("x0").alias("x0"), F.min("x1").alias("x1"), F.max("y0").alias("y0"), F.min("y1").alias("y1"))
-    steps = lambda a, b: F.sequence(F.ceil(F.col(a) / size), F.floor(F.col(b) / size) - 1)
-    rows = box.select("x0", "x1", F.explode(steps("y0", "y1")).alias("row"))
-    # One row per raster line is spread over the tasks before the columns are made.
-    return rows.repartition("row").select(F.explode(steps("x0", "x1")).alias("col"), "row")
+    first, last = lambda c: F.ceil(F.col(c) / size), lambda c: F.floor(F.col(c) / size) - 1
+    box = box.select(first("x0").alias("_c0"), last("x1").alias("_c1"), first("y0").alias("_r0"), last("y1").alias("_r1"))
+    tiles = box.where("_c0 <= _c1 AND _r0 <= _r1")
+    # Tiles are dealt out to all tasks before their cells are made: the engine would merge these few bytes into one task.
+    for at, least, most, side in (("_r", "_r0", "_r1", TILE[0]), ("_c", "_c0", "_c1", TILE[1])):
+        tiles = tiles.withColumn(at, F.explode(F.sequence(least, most, F.lit(side).cast("bigint"))))
+    inside = lambda at, most, side: F.explode(F.sequence(at, F.least(F.col(at) + (side - 1), most)))
+    rows = spread(tiles, "_r", "_c").withColumn("row", inside("_r", "_r1", TILE[0]))
+    return rows.select(inside("_c", "_c1", TILE[1]).alias("col"), "row")
 
 
 def align_nearest(grid: DataFrame, size: float, raster: DataFrame, raster_size: float, value: str, name: str) -> DataFrame:
@@ -208,24 +217,35 @@ def align_nearest(grid: DataFrame, size: float, raster: DataFrame, raster_size:
 
 
 def align_bilinear(grid: DataFrame, size: float, raster: DataFrame, raster_size: float, value: str, name: str) -> DataFrame:
-    """Weighted mean of the four raster cells around the centre of each grid cell; weights of missing cells are left out."""
-    pos = lambda c: (F.col(c) + 0.5) * size / raster_size - 0.5
-    g = grid.withColumns({"_x": pos("col"), "_y": pos("row")})
-    fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
-    corners = F.array(
-        *[
-            F.struct(
-                (F.floor("_x") + dx).alias("_c"), (F.floor("_y") + dy).alias("_r"),
-                ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("_w"),
-            )
-            for dx in (0, 1)
-            for dy in (0, 1)
-        ]
-    )
-    parts = g.select("col", "row", F.inline(corners)).where("_w > 0")
-    r = raster.select(F.col("col").alias("_c"), F.col("row").alias("_r"), F.col(value).alias("_v")).where("_v is not null")
-    sums = parts.join(r, ["_c", "_r"]).groupBy("col", "row").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias(name))
-    return grid.join(sums, ["col", "row"], "left")
+    """Weighted mean of the four raster cells around the centre of each grid cell; weights of missing cells are left out.
+
+    Four neighbouring raster cells are brought together in one row first. The grid meets these rows once, with one row for
+    each of its cells. A finer raster is copied only to the rows that some grid cell needs.
+    """
+    at = lambda c: (c + 0.5) * size / raster_size - 0.5
+    corners = [(dx, dy) for dx in (0, 1) for dy in (0, 1)]
+
+    def needed(c: str) -> Column:
+        """Whether the centre of a whole-numbered grid cell lies between the centres of raster cells c and c + 1."""
+        near = F.ceil((F.col(c) + 0.5) * raster_size / size - 0.5)
+        return reduce(Column.__or__, [F.floor(at(near + d)) == F.col(c) for d in (-1, 0, 1)])
+
+    r = raster.select(F.col("col").alias("_c"), F.col("row").alias("_r"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    copies = [F.struct((F.col("_c") - dx).alias("_c"), (F.col("_r") - dy).alias("_r"), F.lit(k).alias("_k"), "_v") for k, (dx, dy) in enumerate(corners)]
+    r = r.select(F.inline(F.array(*copies)))
+    if raster_size < size:
+        r = r.where(needed("_c") & needed("_r"))
+    own = [F.when(F.col("_k") == k, F.col("_v")) for k in range(4)]
+    four = r.groupBy("_c", "_r").agg(*[F.sum(v).alias(f"_s{k}") for k, v in enumerate(own)], *[F.count(v).alias(f"_n{k}") for k, v in enumerate(own)])
+    met = grid.withColumns({"_c": F.floor(at(F.col("col"))), "_r": F.floor(at(F.col("row")))}).join(four, ["_c", "_r"], "left")
+    fx, fy = at(F.col("col")) - F.col("_c"), at(F.col("row")) - F.col("_r")
+    top, weights = F.lit(0.0), F.lit(0.0)
+    for k, (dx, dy) in enumerate(corners):
+        w = (fx if dx else 1 - fx) * (fy if dy else 1 - fy)
+        used = (w > 0) & (F.col(f"_n{k}") > 0)
+        top, weights = top + F.when(used, w * F.col(f"_s{k}")).otherwise(0.0), weights + F.when(used, w * F.col(f"_n{k}")).otherwise(0.0)
+    others = [c for c in grid.columns if c not in ("col", "row")]
+    return met.select("col", "row", *others, F.when(weights > 0, top / weights).alias(name))
 
 
 def nodata_mask(raster: DataFrame, bands: dict[str, float]) -> DataFrame:
